@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from reviewlens import settings
 from reviewlens.functions.formatting import is_negative, is_positive
@@ -87,11 +87,10 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         F.max("v").alias("max"),
     )
     ranked = running_total(long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("copies")), ["column", "v"], "copies")
-    # Rank inside the column: subtract the rows of the columns sorted before it.
-    starts = stats.alias("a").join(stats.alias("b"), F.col("b.column") < F.col("a.column"), "left").groupBy(
-        F.col("a.column").alias("column")
-    ).agg(F.coalesce(F.sum("b.count"), F.lit(0)).alias("start"))
-    bounds = stats.select("column", "count").join(starts, "column")
+    # Rank inside the column: subtract the rows of the columns sorted before it
+    # (one row per column).
+    earlier = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
+    bounds = stats.select("column", "count", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
     placed = ranked.join(F.broadcast(bounds), "column").withColumn("last", F.col("total") - F.col("start") - 1).withColumn(
         "first", F.col("last") - F.col("copies") + 1
     )
