@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlens import settings
 from reviewlens.functions.markup import clean_markup
+from reviewlens.scale import join_lookup
 
 # Patterns of the text steps.
 SENTENCE_END = r"([.!?]+)\s+"
@@ -67,12 +68,10 @@ def lemma(word: Column) -> Column:
     return expr.otherwise(word)
 
 
-def lemmatize_by_table(df: DataFrame, word: str, lemmas: DataFrame) -> DataFrame:
+def lemmatize_by_table(df: DataFrame, word: str, lemmas: DataFrame, salt_by: list[str]) -> DataFrame:
     """Lemma from a (word, lemma) table, falling back to the ending rules."""
-    from reviewlens.scale import join_lookup
-
     table = lemmas.select(F.col("word").alias(word), F.col("lemma").alias("_lemma"))
-    joined = join_lookup(df, table, word, salt_by=[word])
+    joined = join_lookup(df, table, word, salt_by)
     return joined.withColumn("lemma", F.coalesce("_lemma", lemma(F.col(word)))).drop("_lemma")
 
 
