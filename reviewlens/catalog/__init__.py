@@ -6,7 +6,7 @@ import importlib
 
 from reviewlens.catalog.registry import CHECKS, QUERIES
 
-MODULES = ("profile_queries", "text_queries")
+MODULES = ("profile_queries", "text_queries", "vector_queries")
 
 
 def load_catalog():

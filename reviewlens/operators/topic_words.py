@@ -20,7 +20,7 @@ def top_words(topic_terms: DataFrame, n: int = settings.TOP_WORDS, absolute: boo
 
 def topic_details(ranked: DataFrame, keep_outlier: bool = False) -> DataFrame:
     """(topic_id, words[], scores[]) from ranked words; at most n entries each."""
-    rows = ranked if keep_outlier else ranked.filter(F.col("topic") != settings.OUTLIER_TOPIC)
+    rows = ranked if keep_outlier else ranked.filter(F.col("topic").cast("string") != str(settings.OUTLIER_TOPIC))
     packed = rows.groupBy(F.col("topic").alias("topic_id")).agg(
         F.sort_array(F.collect_list(F.struct("rank", "term", "weight"))).alias("_w")
     )

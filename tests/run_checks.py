@@ -18,7 +18,7 @@ def main():
     wanted = sys.argv[2:]
     folder = f"/root/testdata/sf{sf}"
     spark = build_session(master="local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = oracle.connect(folder)
     queries, checks = entry_points.queries(), entry_points.oracle_sql()
     failed = []
@@ -33,7 +33,7 @@ def main():
                 rows = len(fn(spark, folder).collect())
                 outcome = "" if rows else "no rows"
         except Exception as error:  # report and go on
-            outcome = f"{type(error).__name__}: {str(error)[:700]}"
+            outcome = f"{type(error).__name__}: {str(error)[:300]}"
         if outcome:
             failed.append(name)
         kind = "sql " if name in checks else "rows"
