@@ -6,3 +6,11 @@ vocabularies, metric rows) reach the driver.
 """
 
 __version__ = "0.1.0"
+
+import sys as _sys
+
+from pyspark import cloudpickle as _cloudpickle
+
+# Functions of this package travel inside the tasks that use them, so executors
+# do not need it installed.
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

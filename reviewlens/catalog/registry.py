@@ -6,6 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from reviewlens.scale import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
@@ -29,5 +31,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table whose texts are about to be worked on."""
+    return spread(table(spark, sf_dir, name))
+
+
 def sql_list(words) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in words)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import settings
 from reviewlens.catalog import sql_text
-from reviewlens.catalog.registry import query, sql_list, table
+from reviewlens.catalog.registry import query, sql_list, texts
 from reviewlens.functions import markup, text
 from reviewlens.operators import class_tfidf, topic_words
 
@@ -43,7 +43,7 @@ MARKED_SQL = _marked_sql()
 
 
 def _marked_docs(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", marked_text().alias("review"))
+    return texts(spark, sf).select("doc_id", marked_text().alias("review"))
 
 
 @query(f"SELECT doc_id, md5({sql_text.clean(MARKED_SQL)}) AS digest, length({sql_text.clean(MARKED_SQL)}) AS n FROM documents")
@@ -94,12 +94,12 @@ for _rule, _, _ in markup.MARKUP_RULES:
 
 @query(f"SELECT doc_id, md5({sql_text.collapse('text')}) AS digest FROM documents")
 def whitespace_collapse(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(markup.collapse_space(F.col("text"))).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.md5(markup.collapse_space(F.col("text"))).alias("digest"))
 
 
 @query(sql_text.sentences("documents", "text", "doc_id"))
 def sentences(spark, sf):
-    return text.review_sentences(table(spark, sf, "documents"), "text", ["doc_id"], markup=False)
+    return text.review_sentences(texts(spark, sf), "text", ["doc_id"], markup=False)
 
 
 @query(sql_text.sentences(f"(SELECT doc_id, {sql_text.clean(MARKED_SQL)} AS text FROM documents)", "text", "doc_id"))
@@ -109,19 +109,19 @@ def sentences_after_markup(spark, sf):
 
 @query(sql_text.sentences("(SELECT doc_id, lower(text) AS text FROM documents)", "text", "doc_id"))
 def sentences_lower(spark, sf):
-    return text.explode_sentences(table(spark, sf, "documents"), "text", ["doc_id"], lower=True)
+    return text.explode_sentences(texts(spark, sf), "text", ["doc_id"], lower=True)
 
 
 @query("SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def newline_split(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
+    return texts(spark, sf).select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
 
 
 @query(f"""
 WITH s AS ({sql_text.sentences("documents", "text", "doc_id")})
 SELECT (SELECT count(*) FROM documents) AS reviews, count(*) AS sentences FROM s""")
 def sentence_counts(spark, sf):
-    docs = table(spark, sf, "documents")
+    docs = texts(spark, sf)
     found = text.review_sentences(docs, "text", ["doc_id"], markup=False)
     return found.agg(F.count(F.lit(1)).alias("sentences")).select(
         docs.agg(F.count(F.lit(1)).alias("n")).scalar().alias("reviews"), "sentences"
@@ -130,27 +130,27 @@ def sentence_counts(spark, sf):
 
 @query("SELECT doc_id, md5(lower(text)) AS digest FROM documents")
 def lower_case(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.md5(F.lower("text")).alias("digest"))
+    return texts(spark, sf).select("doc_id", F.md5(F.lower("text")).alias("digest"))
 
 
 @query(f"SELECT page_id, {sql_text.unicode_norm('html')} AS normal FROM pages")
 def normalize_unicode(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.normalize_unicode(F.col("html")).alias("normal"))
+    return texts(spark, sf, "pages").select("page_id", text.normalize_unicode(F.col("html")).alias("normal"))
 
 
 @query(f"SELECT page_id, regexp_replace(lower(html), '{text.URL}', '', 'g') AS bare FROM pages")
 def strip_urls(spark, sf):
-    return table(spark, sf, "pages").select("page_id", F.regexp_replace(F.lower("html"), text.URL, "").alias("bare"))
+    return texts(spark, sf, "pages").select("page_id", F.regexp_replace(F.lower("html"), text.URL, "").alias("bare"))
 
 
 @query(f"SELECT page_id, {sql_text.ascii_norm('html')} AS normal FROM pages")
 def normalize_ascii(spark, sf):
-    return table(spark, sf, "pages").select("page_id", text.normalize_ascii(F.col("html")).alias("normal"))
+    return texts(spark, sf, "pages").select("page_id", text.normalize_ascii(F.col("html")).alias("normal"))
 
 
 @query(f"SELECT doc_id, {sql_text.words(sql_text.unicode_norm('text'))} AS words FROM documents")
 def word_tokens(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", text.words(text.normalize_unicode(F.col("text"))).alias("words"))
+    return texts(spark, sf).select("doc_id", text.words(text.normalize_unicode(F.col("text"))).alias("words"))
 
 
 @query(f"""
@@ -158,14 +158,14 @@ SELECT doc_id, list_filter({sql_text.words(sql_text.unicode_norm('text'))},
   lambda w: length(w) > 2 AND w NOT IN ({sql_list(settings.TOPIC_STOP_WORDS)})) AS kept FROM documents""")
 def stop_words_and_length(spark, sf):
     tokens = text.tokens(text.normalize_unicode(F.col("text")), settings.TOPIC_STOP_WORDS, lemmatize=False)
-    return table(spark, sf, "documents").select("doc_id", tokens.alias("kept"))
+    return texts(spark, sf).select("doc_id", tokens.alias("kept"))
 
 
 @query(f"""
 WITH w AS (SELECT doc_id, unnest({sql_text.words(sql_text.unicode_norm('text'))}) AS word FROM documents)
 SELECT doc_id, word FROM w ANTI JOIN (SELECT unnest([{sql_list(settings.STUDY_STOP_WORDS)}]) AS word) s USING (word)""")
 def stop_words_anti_join(spark, sf):
-    exploded = table(spark, sf, "documents").select(
+    exploded = texts(spark, sf).select(
         "doc_id", F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word")
     )
     stop = spark.createDataFrame([(w,) for w in settings.STUDY_STOP_WORDS], "word string")
@@ -177,7 +177,7 @@ def stop_words_anti_join(spark, sf):
 WITH w AS (SELECT DISTINCT unnest({sql_text.words(sql_text.unicode_norm('text'))}) AS word FROM documents)
 SELECT word, {sql_text.lemma('word')} AS lemma FROM w""")
 def lemmatize(spark, sf):
-    words = table(spark, sf, "documents").select(F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word"))
+    words = texts(spark, sf).select(F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word"))
     return words.distinct().select("word", text.lemma(F.col("word")).alias("lemma"))
 
 
@@ -188,7 +188,7 @@ SELECT doc_id, word, CASE WHEN known.word IS NOT NULL THEN 'known:' || word ELSE
 FROM w LEFT JOIN known USING (word)""")
 def lemmatize_by_table(spark, sf):
     def words(name, *keys):
-        return table(spark, sf, name).select(*keys, F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word"))
+        return texts(spark, sf, name).select(*keys, F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word"))
 
     lemmas = words("benchmark").distinct().withColumn("lemma", F.concat(F.lit("known:"), "word"))
     return text.lemmatize_by_table(words("documents", "doc_id"), "word", lemmas, ["doc_id"])
@@ -196,19 +196,19 @@ def lemmatize_by_table(spark, sf):
 
 @query(f"WITH {sql_text.study_docs()} SELECT doc_id, sent_pos, array_to_string(tokens, ' ') AS processed FROM study")
 def study_sentences(spark, sf):
-    return text.study_sentences(table(spark, sf, "documents"), "text", ["doc_id"]).select("doc_id", "sent_pos", "processed")
+    return text.study_sentences(texts(spark, sf), "text", ["doc_id"]).select("doc_id", "sent_pos", "processed")
 
 
 @query(f"WITH {sql_text.fixed_docs()} SELECT doc_id, tokens FROM fixed")
 def fixed_tokens(spark, sf):
-    return text.fixed_tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    return text.fixed_tokens(texts(spark, sf), "text", ["doc_id"])
 
 
 @query(f"""
 WITH {sql_text.fixed_docs()}
 SELECT doc_id, tokens || list_transform(range(1, len(tokens)), lambda i: tokens[i] || ' ' || tokens[i + 1]) AS grams FROM fixed""")
 def ngrams(spark, sf):
-    tokenised = text.fixed_tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    tokenised = text.fixed_tokens(texts(spark, sf), "text", ["doc_id"])
     return tokenised.select("doc_id", text.ngrams(F.col("tokens")).alias("grams"))
 
 
@@ -223,7 +223,7 @@ w AS (SELECT topic, term, tf / topic_words * ln(1 + (SELECT floor(avg(topic_word
 r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM w)
 SELECT topic AS source, CAST(rank AS INTEGER) AS rank, term, round(weight, 9) AS weight FROM r WHERE rank <= 10""")
 def top_words_per_source(spark, sf):
-    found = text.review_sentences(table(spark, sf, "documents"), "text", ["doc_id", "source"])
+    found = text.review_sentences(texts(spark, sf), "text", ["doc_id", "source"])
     tokenised = found.select("source", text.tokens(text.normalize_unicode(F.col("sentence")), settings.STUDY_STOP_WORDS).alias("tokens"))
     weights = class_tfidf.class_tfidf(class_tfidf.class_term_counts(tokenised, "source"))
     return topic_words.top_words(weights).select(

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import settings
 from reviewlens.catalog import sql_text
-from reviewlens.catalog.registry import query, sql_list, table
+from reviewlens.catalog.registry import query, table, texts
 from reviewlens.functions import text, vectors
 from reviewlens.operators import assignment, class_tfidf, quality, topic_words, vocabulary
 
@@ -50,14 +50,14 @@ ranked AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORD
 
 def study_docs(spark, sf):
     """One token list per document, with study normalisation."""
-    docs = table(spark, sf, "documents").select(
+    docs = texts(spark, sf).select(
         "doc_id", "source", text.tokens(text.normalize_unicode(F.col("text")), settings.STUDY_STOP_WORDS).alias("tokens")
     )
     return docs.filter(F.size("tokens") > 0)
 
 
 def fixed_docs(spark, sf):
-    return text.fixed_tokens(table(spark, sf, "documents"), "text", ["doc_id"])
+    return text.fixed_tokens(texts(spark, sf), "text", ["doc_id"])
 
 
 def source_weights(spark, sf):

@@ -42,7 +42,7 @@ def valid_topics(sizes: DataFrame) -> DataFrame:
 
 def order_by_size(assigned: DataFrame, cluster: str = "cluster", keys: list[str] | None = None, bounded: bool = False) -> DataFrame:
     """Renumber clusters 0.. by size (0 the largest); outliers keep -1."""
-    sizes = assigned.filter(F.col(cluster) != settings.OUTLIER_TOPIC).groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = assigned.filter(F.col(cluster).cast("string") != str(settings.OUTLIER_TOPIC)).groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
     # one row per cluster: the window sees cluster rows only
     ranked = sizes.select(
         cluster, (F.row_number().over(Window.orderBy(F.desc("_n"), cluster)) - 1).cast("int").alias("topic")

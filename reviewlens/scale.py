@@ -91,6 +91,17 @@ def salted_join(
     return spread.join(copies, [*keys, "_salt"], how).drop("_salt")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use every core for text work on a small input.
+
+    A file with few row groups arrives in few splits; the costly expressions
+    after the scan would then run on as many cores.  Inputs with at least one
+    split per core are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Union by column name; columns missing in a frame become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
