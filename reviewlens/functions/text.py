@@ -75,9 +75,11 @@ def lemmatize_by_table(df: DataFrame, word: str, lemmas: DataFrame, salt_by: lis
     return joined.withColumn("lemma", F.coalesce("_lemma", lemma(F.col(word)))).drop("_lemma")
 
 
-def tokens(normalized: Column, stop_words: list[str], lemmatize: bool = True) -> Column:
+def tokens(
+    normalized: Column, stop_words: list[str], lemmatize: bool = True, min_length: int = settings.MIN_TOKEN_LENGTH
+) -> Column:
     """Words, minus stop words and short ones, then lemmas."""
-    kept = F.filter(words(normalized), lambda w: keep_word(w, stop_words))
+    kept = F.filter(words(normalized), lambda w: keep_word(w, stop_words, min_length))
     return F.transform(kept, lemma) if lemmatize else kept
 
 

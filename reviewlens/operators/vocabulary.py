@@ -87,7 +87,10 @@ def log2_idf(n: Column, df: Column) -> Column:
 def tfidf_long(
     tokens_df: DataFrame, vocabulary: DataFrame, keys: list[str], variant: str = "smooth"
 ) -> DataFrame:
-    """(keys, term, term_id, w): L2-normalised TF-IDF in long form."""
+    """(keys, term, term_id, w): L2-normalised TF-IDF, or plain counts, in long form."""
+    if variant == "count":
+        known = in_vocabulary(bag_of_words(tokens_df, keys), vocabulary)
+        return known.select(*keys, "term", "term_id", F.col("tf").cast("double").alias("w"))
     n = document_count(tokens_df)
     idf = smooth_idf(n, F.col("df")) if variant == "smooth" else log2_idf(n, F.col("df"))
     weighted = in_vocabulary(bag_of_words(tokens_df, keys), vocabulary).withColumn("raw", F.col("tf") * idf)
