@@ -191,10 +191,7 @@ SELECT topic, term, round(weight, 9) AS weight FROM ranked SEMI JOIN head USING
 WHERE rank <= 10 AND length(term) >= 3 AND term NOT IN ({sql_list(settings.TOPIC_STOP_WORDS)})""")
 def leading_topic_words(spark, sf):
     info = table(spark, sf, "documents").groupBy(F.col("source").alias("topic")).agg(F.sum("n_chars").alias("count"))
-    info = info.withColumn("topic", F.col("topic"))
-    words = reports.leading_topic_words(
-        info.filter(F.col("topic") != "-1"), source_weights(spark, sf)
-    )
+    words = reports.leading_topic_words(info, source_weights(spark, sf))
     return words.withColumn("weight", F.round("weight", 9))
 
 

@@ -33,7 +33,7 @@ def main():
                 rows = len(fn(spark, folder).collect())
                 outcome = "" if rows else "no rows"
         except Exception as error:  # report and go on
-            outcome = f"{type(error).__name__}: {str(error)[:300]}"
+            outcome = f"{type(error).__name__}: {str(error)[:int(os.environ.get("MSG", "300"))]}"
         if outcome:
             failed.append(name)
         kind = "sql " if name in checks else "rows"
