@@ -224,8 +224,9 @@ r AS (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term
 SELECT topic AS source, CAST(rank AS INTEGER) AS rank, term, round(weight, 9) AS weight FROM r WHERE rank <= 10""")
 def top_words_per_source(spark, sf):
     found = text.review_sentences(texts(spark, sf), "text", ["doc_id", "source"])
-    tokenised = found.select("source", text.tokens(text.normalize_unicode(F.col("sentence")), settings.STUDY_STOP_WORDS).alias("tokens"))
-    weights = class_tfidf.class_tfidf(class_tfidf.class_term_counts(tokenised, "source"))
+    tokens = text.tokens(text.normalize_unicode(F.col("sentence")), settings.STUDY_STOP_WORDS)
+    counts = class_tfidf.class_term_counts(text.evaluated_once(found, ["source"], tokens, "tokens"), "source")
+    weights = class_tfidf.class_tfidf(counts)
     return topic_words.top_words(weights).select(
         F.col("topic").alias("source"), "rank", "term", F.round("weight", 9).alias("weight")
     )

@@ -50,14 +50,13 @@ ranked AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORD
 
 def study_docs(spark, sf):
     """One token list per document, with study normalisation."""
-    docs = texts(spark, sf).select(
-        "doc_id", "source", text.tokens(text.normalize_unicode(F.col("text")), settings.STUDY_STOP_WORDS).alias("tokens")
-    )
-    return docs.filter(F.size("tokens") > 0)
+    tokens = text.tokens(text.normalize_unicode(F.col("text")), settings.STUDY_STOP_WORDS)
+    docs = text.evaluated_once(texts(spark, sf), ["doc_id", "source"], tokens, "tokens")
+    return docs.filter(F.size("tokens") > 0).persist()
 
 
 def fixed_docs(spark, sf):
-    return text.fixed_tokens(texts(spark, sf), "text", ["doc_id"])
+    return text.fixed_tokens(texts(spark, sf), "text", ["doc_id"]).persist()
 
 
 def source_weights(spark, sf):

@@ -60,11 +60,13 @@ def keep_word(word: Column, stop_words: list[str], min_length: int = settings.MI
 
 def lemma(word: Column) -> Column:
     """Singular form by noun endings (no dictionary)."""
-    expr = None
+    # Most words have none of the endings: settle those with two comparisons.
+    plain = ~F.endswith(word, F.lit("s")) & ~F.endswith(word, F.lit("men"))
+    expr = F.when(plain, word)
     for ending, repl in LEMMA_ENDINGS:
         hit = F.endswith(word, F.lit(ending))
         stem = F.concat(F.substring(word, F.lit(1), F.length(word) - len(ending)), F.lit(repl))
-        expr = F.when(hit, stem) if expr is None else expr.when(hit, stem)
+        expr = expr.when(hit, stem)
     return expr.otherwise(word)
 
 
@@ -99,6 +101,15 @@ def ngrams(tokens_col: Column, low: int = 1, high: int = 2) -> Column:
 # --- frame-level preprocessing --------------------------------------------
 
 
+def evaluated_once(df: DataFrame, keys: list[str], expr: Column, name: str) -> DataFrame:
+    """Keys and one costly expression, as a one-element explode.
+
+    Filters on the result stay above it.  On a plain projection the optimizer
+    pushes them down and evaluates the whole expression a second time there.
+    """
+    return df.select(*keys, F.explode(F.array(expr)).alias(name))
+
+
 def review_sentences(df: DataFrame, text: str, keys: list[str], markup: bool = True) -> DataFrame:
     """Null reviews dropped, optionally cleaned of markup, split into sentences."""
     kept = df.select(*keys, F.col(text).cast("string").alias("_text")).dropna(subset=["_text"])
@@ -114,9 +125,8 @@ def study_sentences(df: DataFrame, text: str, keys: list[str], stop_words=None)
     """
     stop_words = settings.STUDY_STOP_WORDS if stop_words is None else stop_words
     sentences = explode_sentences(df.dropna(subset=[text]), text, keys, lower=True)
-    tokenised = sentences.select(
-        *keys, "sent_pos", tokens(normalize_unicode(F.col("sentence")), stop_words).alias("tokens")
-    )
+    words_kept = tokens(normalize_unicode(F.col("sentence")), stop_words)
+    tokenised = evaluated_once(sentences, [*keys, "sent_pos"], words_kept, "tokens")
     return tokenised.filter(F.size("tokens") > 0).withColumn("processed", F.array_join("tokens", " "))
 
 
@@ -124,5 +134,5 @@ def fixed_tokens(df: DataFrame, text: str, keys: list[str], stop_words=None) ->
     """One token list per review for the fixed-count study; empty lists dropped."""
     stop_words = settings.FIXED_STOP_WORDS if stop_words is None else stop_words
     kept = df.select(*keys, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
-    tokenised = kept.select(*keys, tokens(normalize_ascii(F.col("_text")), stop_words).alias("tokens"))
+    tokenised = evaluated_once(kept, keys, tokens(normalize_ascii(F.col("_text")), stop_words), "tokens")
     return tokenised.filter(F.size("tokens") > 0)

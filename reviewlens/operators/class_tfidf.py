@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from reviewlens import settings
 from reviewlens.functions.text import ngrams
-from reviewlens.scale import salted_join
+from reviewlens.scale import join_lookup
 
 
 def class_term_counts(tokens_df: DataFrame, topic: str, tokens: str = "tokens", sizes=(1, 1)) -> DataFrame:
@@ -27,22 +27,20 @@ def limit_by_topics(counts: DataFrame, min_df: int = settings.TOPIC_MIN_DF, max_
     return counts.join(kept.select("term"), "term", "left_semi")
 
 
-def class_tfidf(counts: DataFrame, bounded: bool = False) -> DataFrame:
+def class_tfidf(counts: DataFrame) -> DataFrame:
     """Weight tf/words(topic) * ln(1 + A/f(term)).
 
     A is the mean number of words per topic, cut to a whole number; f is the
     term's frequency over all topics.  A term has at most one row per topic
-    here, so joining on the term cannot be skewed.  Joining on the topic can:
-    the sizes are broadcast when a model parameter bounds the topics
-    (``bounded``), otherwise the hot topic is salted.
+    here, so joining on the term cannot be skewed; the topic sizes are joined
+    with a size check.  The counts are persisted: they are read three times, the
+    texts behind them once.
     """
+    counts = counts.persist()
     sizes = counts.groupBy("topic").agg(F.sum("tf").alias("topic_words"))
     mean_words = sizes.agg(F.floor(F.avg("topic_words")).alias("a")).scalar()
     frequency = counts.groupBy("term").agg(F.sum("tf").alias("f"))
     idf = frequency.select("term", F.log(1 + mean_words / F.col("f")).alias("idf"))
     weighted = counts.join(idf, "term")
-    if bounded:
-        sized = weighted.join(F.broadcast(sizes), "topic")
-    else:
-        sized = salted_join(weighted, sizes, ["topic"], salt_by=["term"], how="inner")
+    sized = join_lookup(weighted, sizes, "topic", salt_by=["term"], how="inner")
     return sized.select("topic", "term", (F.col("tf") / F.col("topic_words") * F.col("idf")).alias("weight"))
