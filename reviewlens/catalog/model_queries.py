@@ -365,6 +365,6 @@ def review_analysis_sentiment(spark, sf):
     """The whole analysis over all documents: sentiment per discovered topic."""
     tables = review_analysis.run_analysis(
         texts(spark, sf), "text", "doc_id",
-        clustering={"epsilon": 0.3, "min_samples": 20, "min_cluster_size": 50}, embed={"dimensions": 16},
+        clustering={"epsilon": 0.12, "min_samples": 20, "min_cluster_size": 50}, embed={"dimensions": 16},
     )
     return tables["sentiment_analysis"]
