@@ -8,6 +8,7 @@ from reviewlens import settings
 from reviewlens.catalog import sql_text
 from reviewlens.catalog.registry import query, table, texts
 from reviewlens.functions import text, vectors
+from reviewlens.scale import join_lookup
 from reviewlens.operators import assignment, class_tfidf, quality, topic_words, vocabulary
 
 STUDY_SQL = f"""
@@ -272,7 +273,7 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], v), 8) AS simil
 def cosine_to_topic(spark, sf):
     rows = table(spark, sf, "embeddings").withColumnRenamed("label", "topic")
     means = assignment.topic_vectors(rows)
-    joined = rows.join(F.broadcast(means), "topic")
+    joined = join_lookup(rows, means, "topic", ["vec_id"], "inner")
     return joined.select("vec_id", F.round(vectors.cosine(F.col("embedding"), F.col("vector")), 8).alias("similarity"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from reviewlens import settings
+from reviewlens.scale import join_lookup
 
 
 def top_words(topic_terms: DataFrame, n: int = settings.TOP_WORDS, absolute: bool = False) -> DataFrame:
@@ -34,14 +35,13 @@ def topic_details(ranked: DataFrame, keep_outlier: bool = False) -> DataFrame:
 def l1_normalised(topic_terms: DataFrame) -> DataFrame:
     """Each topic's weights divided by their sum."""
     totals = topic_terms.groupBy("topic").agg(F.sum("weight").alias("_total"))
-    # one row per topic, and the number of topics is a model parameter
-    return topic_terms.join(F.broadcast(totals), "topic").withColumn("weight", F.col("weight") / F.col("_total")).drop("_total")
+    return join_lookup(topic_terms, totals, "topic", ["term"], "inner").withColumn("weight", F.col("weight") / F.col("_total")).drop("_total")
 
 
 def scaled_to_top(topic_terms: DataFrame) -> DataFrame:
     """Each topic's weights divided by its largest weight."""
     peaks = topic_terms.groupBy("topic").agg(F.max("weight").alias("_peak"))
-    return topic_terms.join(F.broadcast(peaks), "topic").withColumn("scaled", F.col("weight") / F.col("_peak")).drop("_peak")
+    return join_lookup(topic_terms, peaks, "topic", ["term"], "inner").withColumn("scaled", F.col("weight") / F.col("_peak")).drop("_peak")
 
 
 def topic_labels(details: DataFrame, n: int = settings.LABEL_WORDS) -> DataFrame:
@@ -63,6 +63,6 @@ def ordered_topics(topic_importance: DataFrame) -> DataFrame:
 def report_rows(topic_terms: DataFrame, topic_importance: DataFrame, n: int = settings.REPORT_WORDS) -> DataFrame:
     """Report table: topics by importance, n terms each."""
     ranked = top_words(topic_terms, n)
-    return ranked.join(F.broadcast(ordered_topics(topic_importance)), "topic").select(
+    return ranked.join(ordered_topics(topic_importance), "topic").select(
         "position", "topic", "importance", "rank", "term", "weight"
     )
