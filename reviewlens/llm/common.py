@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-from typing import Callable, Iterable, Iterator
+from typing import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 #: Every ASCII byte that is not a digit or letter becomes a space; A-Z become a-z.
@@ -48,20 +49,36 @@ def space_words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER_FOLD).split() if text else []
 
 
-def text_or_none(value) -> str | None:
-    return value if isinstance(value, str) else None
+def map_texts(documents: DataFrame, build: Callable[[], Callable[[list], dict]], columns: str) -> DataFrame:
+    """``doc_id`` and further columns computed from ``text``, batch by batch, without a shuffle.
 
+    ``build()`` runs once in each task and returns the function from a list of texts
+    (or nulls) to the values of each column.  Ids pass through as they are.
+    """
+    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    schema = StructType.fromDDL("doc_id long, " + columns)
+    fields = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = build()
+        for batch in batches:
+            values = step(batch.column(1).to_pylist())
+            rest = [pa.array(values[f.name], f.type) for f in list(fields)[1:]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *rest], schema=fields)
 
-def map_rows(df: DataFrame, build: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], schema: StructType | str) -> DataFrame:
-    """Map Arrow batches; ``build()`` runs once in each task and returns the batch function."""
+    return slim.mapInArrow(run, schema)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def keep_rows(documents: DataFrame, build: Callable[[], Callable[[list], list[bool]]]) -> DataFrame:
+    """The documents, with all their columns, for whose ``text`` the function says true."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
         for batch in batches:
-            if len(batch):
-                yield step(batch)
+            yield batch.filter(pa.array(step(batch.column(at).to_pylist()), pa.bool_()))
 
-    return df.mapInPandas(run, schema)
+    return documents.mapInArrow(run, documents.schema)
 
 
 def id_bucket(column: Column, buckets: int) -> Column:
@@ -79,8 +96,3 @@ def mix64(values: np.ndarray) -> np.ndarray:
         z *= np.uint64(0x94D049BB133111EB)
         z ^= z >> np.uint64(31)
     return z
-
-
-def nullable(values: Iterable, dtype: str = "Int64") -> pd.Series:
-    """A series of integers that may hold nulls."""
-    return pd.Series(list(values), dtype=dtype)

@@ -20,21 +20,21 @@ import re
 from itertools import repeat
 
 import ahocorasick
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlens.llm.common import alnum_words, map_rows, text_or_none
+from reviewlens.llm.common import alnum_words, keep_rows, map_texts
 
 #: Words of one window.
 WINDOW = 10
-#: Windows of one automaton.  A larger benchmark is scanned for in several
-#: narrow passes, so what a task receives is bounded by this number.
+#: Windows of one automaton (about 100 bytes each).  A larger benchmark is scanned
+#: for by several automata, so that no single broadcast grows with it.
 AUTOMATON_WINDOWS = 400_000
 
-WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text whose A-Z are as they were.
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 SCAN_SCHEMA = (
-    "doc_id long, n_words long, n_hit long, items array<string>, "
+    "n_words long, n_hit long, items array<string>, "
     "spans array<struct<first_word:long,last_word:long,start:long,end:long>>"
 )
 
@@ -42,21 +42,17 @@ SCAN_SCHEMA = (
 def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """(words, items): the distinct windows and the ids of the items they occur in."""
 
-    def build():
-        def step(batch: pd.DataFrame) -> pd.DataFrame:
-            rows = []
-            for item, text in zip(batch["item_id"], batch["text"]):
-                words = [w.decode("utf-8", "surrogatepass") for w in alnum_words(text_or_none(text))]
-                if item is None or not words:
-                    continue
-                for i in range(max(1, len(words) - window + 1)):
-                    rows.append((" ".join(words[i : i + window]), item))
-            return pd.DataFrame(rows, columns=["words", "item"])
-
-        return step
-
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    found = map_rows(items, build, "words string, item string")
+    def run(batches):
+        for batch in batches:
+            found: list[tuple[str, str]] = []
+            for item, text in zip(*(column.to_pylist() for column in batch.columns)):
+                words = [w.decode("utf-8", "surrogatepass") for w in alnum_words(text)]
+                found += ((" ".join(words[i : i + window]), item) for i in range(max(1, len(words) - window + 1)) if words)
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["words", "item"])
+
+    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
+    found = items.mapInArrow(run, "words string, item string")
     return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))
 
 
@@ -117,76 +113,47 @@ def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, autom
     """Hits of every document, without a shuffle of the documents.
 
     Returns ``doc_id, n_words, n_hit, items, spans``; spans hold word and character
-    offsets of the original text and don't overlap.
+    offsets of the original text and don't overlap.  A benchmark of several automata
+    is scanned for by one after the other within each batch.
     """
-    found = documents.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
-        F.array().cast("array<struct<first:long,last:long>>").alias("hits"),
-        F.array().cast("array<string>").alias("items"),
-    )
     parts = _automata(documents, benchmark, window, automaton_windows)
-    for part in parts[:-1]:
-        found = found.mapInPandas(_collect_hits(part), found.schema)
-    return found.mapInPandas(_final_hits(parts[-1]), SCAN_SCHEMA)
-
-
-def _hits(matcher: Matcher, batch: pd.DataFrame):
-    """(text, number of words, merged spans, items) of each row, earlier passes included."""
-    for text, hits, items in zip(batch["text"], batch["hits"], batch["items"]):
-        text = text_or_none(text)
-        words = alnum_words(text)
-        spans, names = matcher.scan(words)
-        if len(hits):
-            spans = _merge(spans + [(h["first"], h["last"]) for h in hits])
-            names.update(items)
-        yield text, len(words), spans, sorted(names)
 
+    def build():
+        matchers = [Matcher(part.value) for part in parts]
 
-def _collect_hits(part):
-    def run(batches):
-        matcher = Matcher(part.value)
-        for batch in batches:
-            found = list(_hits(matcher, batch))
-            batch["hits"] = [[{"first": a, "last": b} for a, b in spans] for _, _, spans, _ in found]
-            batch["items"] = [names for *_, names in found]
-            yield batch
+        def step(texts):
+            rows = [_row(matchers, text) for text in texts]
+            return {name: [r[k] for r in rows] for k, name in enumerate(("n_words", "n_hit", "items", "spans"))}
 
-    return run
+        return step
 
+    return map_texts(documents, build, SCAN_SCHEMA)
 
-def _final_hits(part):
-    def run(batches):
-        matcher = Matcher(part.value)
-        for batch in batches:
-            rows = []
-            for text, n_words, spans, names in _hits(matcher, batch):
-                place = [m.span() for m in WORD.finditer(text)] if spans else []
-                rows.append((
-                    n_words, sum(b - a + 1 for a, b in spans), names,
-                    [{"first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for a, b in spans],
-                ))
-            result = pd.DataFrame(rows, columns=["n_words", "n_hit", "items", "spans"])
-            result.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield result
 
-    return run
+def _row(matchers: list[Matcher], text: str | None):
+    words = alnum_words(text)
+    spans, names = matchers[0].scan(words)
+    for matcher in matchers[1:]:
+        more, others = matcher.scan(words)
+        spans, names = _merge(spans + more), names | others
+    place = [m.span() for m in WORD.finditer(text)] if spans else []
+    return len(words), sum(b - a + 1 for a, b in spans), sorted(names), [
+        {"first_word": a, "last_word": b, "start": place[a][0], "end": place[b][1]} for a, b in spans
+    ]
 
 
 def remove_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, automaton_windows: int = AUTOMATON_WINDOWS) -> DataFrame:
     """The documents, with all their columns, without those that hold a window of a test item."""
-    at = documents.columns.index("text")
 
     def without_hits(part):
-        def run(batches):
+        def build():
             matcher = Matcher(part.value)
-            for batch in batches:
-                clean = [not matcher.scan(alnum_words(text))[0] for text in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+            return lambda texts: [not matcher.scan(alnum_words(text))[0] for text in texts]
 
-        return run
+        return build
 
     for part in _automata(documents, benchmark, window, automaton_windows):
-        documents = documents.mapInArrow(without_hits(part), documents.schema)
+        documents = keep_rows(documents, without_hits(part))
     return documents
 
 

@@ -20,12 +20,11 @@ import re
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import tiktoken
 from pyspark import SparkFiles, TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlens.llm.common import text_or_none
 from reviewlens.llm.token_counts import byte_symbols
 
 #: Remainders packed together; this bounds a task's memory to about 64 MB of ids.
@@ -221,16 +220,15 @@ def pack(documents: DataFrame, vocabulary_path: str, pattern: str, size: int = 1
                 offset += length
             following += 1
 
-        def frame() -> pd.DataFrame:
-            result = pd.DataFrame(rows, columns=columns)
-            result["doc_id"] = result["doc_id"].astype("Int64")
+        def batch_of_rows() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], columns)
             rows.clear()
-            return result
+            return batch
 
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = encoder.encode(text_or_none(text)) + end
-                document = (None if pd.isna(doc_id) else int(doc_id), len(ids) // 4)
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = encoder.encode(text) + end
+                document = (doc_id, len(ids) // 4)
                 for at in range(0, len(ids), 4 * size):
                     piece = (document, at // 4, ids[at : at + 4 * size])
                     if len(piece[2]) == 4 * size:
@@ -242,11 +240,11 @@ def pack(documents: DataFrame, vocabulary_path: str, pattern: str, size: int = 1
                         place(window)
                     waiting.clear()
             if rows:
-                yield frame()
+                yield batch_of_rows()
         for window in pack_pool(waiting, size):
             place(window)
         if rows:
-            yield frame()
+            yield batch_of_rows()
 
     slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInPandas(run, SCHEMA)
+    return slim.mapInArrow(run, SCHEMA)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from reviewlens.llm import decontaminate, packing, token_counts
+from reviewlens.llm import decontaminate, language_mixture, license_scan, packing, token_counts
 from reviewlens.llm.common import table
 
 
@@ -14,10 +14,21 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(found)
 
 
+def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = language_mixture.train(language_mixture.training_rows(documents))
+    predicted = language_mixture.predict(documents, model)
+    return predicted.select("doc_id", language_mixture.held_out().alias("held_out"), "lang_pred", "score", "shares")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -26,7 +37,9 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
+    "op2_language_mixture": op2_language_mixture,
     "op5_token_counts": op5_token_counts,
+    "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
 ORACLE_SQL: dict[str, str] = {}

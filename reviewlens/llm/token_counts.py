@@ -19,12 +19,11 @@ import json
 import re as plain_re
 import unicodedata
 
-import pandas as pd
 import regex
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame
 
-from reviewlens.llm.common import map_rows, text_or_none
+from reviewlens.llm.common import map_texts
 
 #: Words and space-delimited pieces whose counts a worker remembers at once.
 REMEMBERED_WORDS, REMEMBERED_PIECES = 600_000, 300_000
@@ -156,17 +155,14 @@ def count_tokens(documents: DataFrame, vocabulary_path: str, limit: int = 2048)
     def build():
         counter = _counter(name)
 
-        def step(batch: pd.DataFrame) -> pd.DataFrame:
-            texts = [text_or_none(t) for t in batch["text"]]
+        def step(texts):
             tokens = [counter.count(t) for t in texts]
-            return pd.DataFrame({
-                "doc_id": batch["doc_id"],
+            return {
                 "n_bytes": [len(t.encode("utf-8", "surrogatepass")) if t else 0 for t in texts],
                 "n_tokens": tokens,
                 "over_limit": [n > limit for n in tokens],
-            })
+            }
 
         return step
 
-    slim = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(slim, build, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_texts(documents, build, "n_bytes long, n_tokens long, over_limit boolean")
