@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import decontaminate, language_mixture, license_scan, packing, token_counts
+from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, packing, token_counts
 from reviewlens.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_mixture.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
+def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -38,8 +42,24 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_mixture": op2_language_mixture,
+    "op4_exact_search": op4_exact_search,
     "op5_token_counts": op5_token_counts,
     "op8_license_scan": op8_license_scan,
     "op10_packing": op10_packing,
 }
-ORACLE_SQL: dict[str, str] = {}
+OP4_SQL = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS w
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.w, c.w), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+    SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM p
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op4_exact_search": OP4_SQL}
