@@ -30,6 +30,8 @@ from reviewlens.llm.common import checkpointed
 
 #: Vectors of one shard (4 MB of 64 components), queries of one block, vectors of a leaf.
 SHARD, BLOCK, LEAF = 8192, 1024, 256
+#: Stands for no score; its negative is a 64-bit integer as well.
+NONE = -(2**62)
 RESULT = "query_id long, vec_id long, score long"
 
 
@@ -79,7 +81,7 @@ class BallTree:
     def search(self, query_ids: np.ndarray, queries: np.ndarray, least: np.ndarray, k: int):
         """Per query the k best (score, id), of those that reach ``least``."""
         n = len(queries)
-        scores = np.full((n, k), np.iinfo(np.int64).min, np.int64)
+        scores = np.full((n, k), NONE, np.int64)
         found = np.full((n, k), np.iinfo(np.int64).max, np.int64)
         as_float = queries.astype(np.float64)
         norms = np.sqrt((as_float**2).sum(axis=1))
@@ -110,16 +112,15 @@ class BallTree:
         vectors = self.vectors[rows].astype(queries.dtype)
         got = (queries[who] @ vectors.T).astype(np.int64)
         ids = self.ids[rows]
-        lowest = np.iinfo(np.int64).min
-        got[query_ids[who][:, None] == ids[None, :]] = lowest
-        got[got < kth[who][:, None]] = lowest
-        live = (got > lowest).any(axis=1)
+        got[query_ids[who][:, None] == ids[None, :]] = NONE
+        got[got < kth[who][:, None]] = NONE
+        live = (got > NONE).any(axis=1)
         if not live.any():
             return
         who, got = who[live], got[live]
         all_scores = np.concatenate([scores[who], got], axis=1)
         all_ids = np.concatenate([found[who], np.broadcast_to(ids, got.shape)], axis=1)
-        all_ids = np.where(all_scores == lowest, np.iinfo(np.int64).max, all_ids)
+        all_ids = np.where(all_scores == NONE, np.iinfo(np.int64).max, all_ids)
         order = np.lexsort((all_ids, -all_scores), axis=1)[:, :k]
         scores[who] = np.take_along_axis(all_scores, order, axis=1)
         found[who] = np.take_along_axis(all_ids, order, axis=1)
@@ -153,7 +154,7 @@ def _search_partition(k: int):
                     stop = min(high, start + BLOCK)
                     queries = ids[start:stop]
                     scores, found = tree.search(queries, part[start - low : stop - low], least[start:stop], k)
-                    here = scores > np.iinfo(np.int64).min
+                    here = scores > NONE
                     which = np.broadcast_to(queries[:, None], scores.shape)[here]
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(which), pa.array(found[here]), pa.array(scores[here])], ["query_id", "vec_id", "score"]
@@ -189,7 +190,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, sh
     candidates = kept.select("dim", home.alias("shard"), "id", "vector")
     one = F.min(F.struct("dim", "vector", "shards")).alias("one")
     queries = kept.where("is_query").groupBy("id").agg(one).select("id", "one.*")
-    lowest = F.lit(-(2**63)).cast("long")
+    lowest = F.lit(NONE).cast("long")
 
     at_home = queries.select("dim", home.alias("shard"), "id", "vector", lowest.alias("least"))
     first = checkpointed(_search(candidates, at_home, k))
