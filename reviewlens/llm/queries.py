@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, packing, token_counts
+from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, near_duplicates, packing, token_counts
 from reviewlens.llm.common import table
 
 
@@ -33,6 +33,10 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op9_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.groups(table(spark, sf_dir, "documents"), width=4)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(
         table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN
@@ -45,6 +49,7 @@ QUERIES = {
     "op4_exact_search": op4_exact_search,
     "op5_token_counts": op5_token_counts,
     "op8_license_scan": op8_license_scan,
+    "op9_setsketch": op9_setsketch,
     "op10_packing": op10_packing,
 }
 OP4_SQL = """
