@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, near_duplicates, packing, token_counts
+from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, near_duplicates, packing, recurrent_lm, token_counts
 from reviewlens.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recurrent_lm.train_and_score(table(spark, sf_dir, "documents"))
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op2_language_mixture": op2_language_mixture,
     "op4_exact_search": op4_exact_search,
     "op5_token_counts": op5_token_counts,
+    "op7_recurrent_lm": op7_recurrent_lm,
     "op8_license_scan": op8_license_scan,
     "op9_setsketch": op9_setsketch,
     "op10_packing": op10_packing,
