@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens.llm import decontaminate, exact_search, language_mixture, license_scan, near_duplicates, packing, recurrent_lm, token_counts
+from reviewlens.llm import (
+    decontaminate, exact_search, language_mixture, license_scan, line_dedup, near_duplicates, packing, recurrent_lm,
+    token_counts, warc_derivatives,
+)
 from reviewlens.llm.common import table
 
 
@@ -21,6 +24,10 @@ def op2_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", language_mixture.held_out().alias("held_out"), "lang_pred", "score", "shares")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -29,6 +36,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_derivatives.derivatives(warc_derivatives.responses(table(spark, sf_dir, "pages")))
+
+
 def op7_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recurrent_lm.train_and_score(table(spark, sf_dir, "documents"))
 
@@ -50,8 +61,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_mixture": op2_language_mixture,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_search": op4_exact_search,
     "op5_token_counts": op5_token_counts,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_recurrent_lm": op7_recurrent_lm,
     "op8_license_scan": op8_license_scan,
     "op9_setsketch": op9_setsketch,
