@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from reviewlens.llm.common import checkpointed
 
 
+#: Edges of one partition.
+ROWS_OF_PARTITION = 10_000
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges ``a, b``; the root is the component's least node.
 
@@ -20,7 +24,8 @@ def components(edges: DataFrame) -> DataFrame:
     links = checkpointed(_oriented(edges.select("a", "b")))
     before = _fingerprint(links)
     while True:
-        links = checkpointed(_small_star(_large_star(links)))
+        # as many partitions as the edges need: small graphs leave few small files
+        links = checkpointed(_small_star(_large_star(links)).coalesce(1 + before[0] // ROWS_OF_PARTITION))
         now = _fingerprint(links)
         if now == before:
             break
