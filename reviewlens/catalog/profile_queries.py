@@ -276,7 +276,7 @@ def rounding(spark, sf):
     )
 
 
-@query("SELECT page_id, url_encode(url) AS cursor FROM pages")
+@query("SELECT page_id, replace(url_encode(url || ' ~*'), '%2F', '/') AS cursor FROM pages")
 def encode_cursor(spark, sf):
-    encoded = F.replace(F.url_encode("url"), F.lit("+"), F.lit("%20"))
-    return table(spark, sf, "pages").select("page_id", encoded.alias("cursor"))
+    cursor = formatting.quote_cursor(F.concat("url", F.lit(" ~*")))
+    return table(spark, sf, "pages").select("page_id", cursor.alias("cursor"))

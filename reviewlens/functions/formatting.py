@@ -55,3 +55,11 @@ def fingerprint(df: DataFrame, text: str, key: str) -> DataFrame:
 def to_text(array: Column) -> Column:
     """Array as JSON text, for CSV files."""
     return F.to_json(array)
+
+
+def quote_cursor(cursor: Column) -> Column:
+    """Percent-encoded text in which '/' and the unreserved characters stay."""
+    quoted = F.url_encode(cursor)
+    for found, wanted in (("+", "%20"), ("*", "%2A"), ("%2F", "/"), ("%7E", "~")):
+        quoted = F.replace(quoted, F.lit(found), F.lit(wanted))
+    return quoted

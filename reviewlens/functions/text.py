@@ -14,6 +14,7 @@ NOT_WORD = r"http\S+|www\S+|[^\p{L}\p{N}_\s]"
 URL = r"http\S+|www\S+"
 NOT_ASCII_LETTER = r"[^a-z\s]"
 BLANK_RUN = r"\s+"
+NOT_BLANK = r"[^\s\p{Z}\x1C-\x1F\x85]"
 
 # Noun endings and their replacements, longest first.
 LEMMA_ENDINGS = (
@@ -35,7 +36,7 @@ def explode_sentences(df: DataFrame, text: str, keys: list[str], lower: bool = F
     """One row per non-blank sentence, keyed by ``keys`` and its position."""
     source = F.lower(F.col(text)) if lower else F.col(text)
     exploded = df.select(*keys, F.posexplode(sentence_array(source)).alias("sent_pos", "sentence"))
-    return exploded.filter(F.trim("sentence") != "")
+    return exploded.filter(F.col("sentence").rlike(NOT_BLANK))
 
 
 def normalize_unicode(text: Column) -> Column:

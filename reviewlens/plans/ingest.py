@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from reviewlens import settings
 from reviewlens.operators.profile import download_progress
 from reviewlens.sources import feed, review_files
 
 
 def ingest_feed(
-    spark: SparkSession, landing: str, target: str, catalogue: str | None = None, cap: int | None = settings.FEED_CAP
+    spark: SparkSession, landing: str, target: str, catalogue: str | None = None, cap: int | None = None
 ) -> DataFrame:
     """Write the reviews of all landed pages; returns progress per game.
 

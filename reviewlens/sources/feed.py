@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from reviewlens import settings
 from reviewlens.functions.formatting import run_stamp
 from reviewlens.scale import salted_join
 from reviewlens.sources import schemas
@@ -33,17 +32,17 @@ def followed_pages(pages: DataFrame) -> DataFrame:
     return joined.filter(before & until).drop("_broken", "_final")
 
 
-def flatten_pages(pages: DataFrame) -> DataFrame:
-    """One row per review; the author's fields get the author_ prefix."""
-    rows = pages.select(*REQUEST, "page_no", F.posexplode("reviews").alias("pos", "r"))
+def flatten_pages(pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """One row per review; the author's fields get the author_ prefix, ``extra`` page columns stay."""
+    rows = pages.select(*REQUEST, *extra, "page_no", F.posexplode("reviews").alias("pos", "r"))
     item = schemas.FEED_PAGE["reviews"].dataType.elementType
     plain = [F.col(f"r.{f.name}") for f in item.fields if f.name != "author"]
     author = [F.col(f"r.author.{f.name}").alias(f"author_{f.name}") for f in item["author"].dataType.fields]
-    return rows.select(*REQUEST, "page_no", "pos", *plain, *author)
+    return rows.select(*REQUEST, *extra, "page_no", "pos", *plain, *author)
 
 
-def cap_per_request(rows: DataFrame, cap: int | None = settings.FEED_CAP, keys=REQUEST, order=("page_no", "pos")) -> DataFrame:
-    """First ``cap`` rows of every request.
+def cap_per_request(rows: DataFrame, cap: int | None = None, keys=REQUEST, order=("page_no", "pos")) -> DataFrame:
+    """First ``cap`` rows of every request; all rows when no cap is asked for.
 
     The limit is applied in every task before the shuffle, so a request with a
     third of all rows still sends at most ``cap`` rows per task.
@@ -61,7 +60,7 @@ def with_fetch_columns(rows: DataFrame, keys=REQUEST, salt_by=("recommendationid
     return salted_join(stamped, totals, list(keys), list(salt_by), "inner")
 
 
-def feed_reviews(pages: DataFrame, cap: int | None = settings.FEED_CAP, stamp: str | None = None) -> DataFrame:
+def feed_reviews(pages: DataFrame, cap: int | None = None, stamp: str | None = None) -> DataFrame:
     """Pages to review rows, stop rules and metadata included."""
     kept = cap_per_request(flatten_pages(followed_pages(pages)), cap)
     return with_fetch_columns(kept, stamp=stamp).drop("page_no", "pos")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from reviewlens.scale import union_all
 from reviewlens.sources import schemas
@@ -15,34 +15,31 @@ def read_csv(spark: SparkSession, paths: str | list[str], schema: T.StructType)
     return spark.read.schema(schema).options(**CSV_OPTIONS).csv(paths)
 
 
-def file_headers(spark: SparkSession, pattern: str) -> list[tuple[str, tuple[str, ...]]]:
-    """(path, column names) of every file, read by the executors: one line each."""
-    files = spark.read.format("binaryFile").load(pattern).select("path")
+def file_headers(spark: SparkSession, pattern: str) -> list[tuple[tuple[str, ...], list[str]]]:
+    """(column names, paths) of the files of each distinct header.
+
+    The first line of every file is found by Spark's own reader, so any store that
+    Spark knows will do; files are grouped before anything reaches the driver.
+    """
+    lines = spark.read.text(pattern).select("value", "_metadata.file_path", "_metadata.file_block_start")
 
     def first_lines(frames):
         import csv
-        import re
 
         import pandas as pd
-        from pyarrow import fs
 
+        seen = set()  # files of this task whose first line has passed
         for frame in frames:
-            headers = []
-            for path in frame["path"]:
-                store, inner = fs.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path))
-                with store.open_input_stream(inner) as stream:
-                    line = b""
-                    while b"\n" not in line:
-                        piece = stream.read(65536)
-                        if not piece:
-                            break
-                        line += piece
-                text = line.split(b"\n", 1)[0].decode("utf-8-sig").rstrip("\r")
-                headers.append(next(csv.reader([text]), []))
-            yield pd.DataFrame({"path": frame["path"], "header": headers})
-
-    found = files.mapInPandas(first_lines, "path string, header array<string>")
-    return sorted((r["path"], tuple(r["header"])) for r in found.collect())
+            first = frame.drop_duplicates("file_path")
+            first = first[~first["file_path"].isin(seen)]
+            seen.update(first["file_path"])
+            names = [next(csv.reader([line.removeprefix("\ufeff").rstrip("\r")]), []) for line in first["value"]]
+            yield pd.DataFrame({"path": first["file_path"].to_numpy(), "header": names})
+
+    starts = lines.where("file_block_start = 0").select("value", "file_path")
+    found = starts.mapInPandas(first_lines, "path string, header array<string>")
+    groups = found.groupBy("header").agg(F.sort_array(F.collect_set("path")).alias("paths"))
+    return sorted((tuple(r["header"]), list(r["paths"])) for r in groups.collect())
 
 
 def read_reviews(spark: SparkSession, pattern: str) -> DataFrame:
@@ -51,13 +48,11 @@ def read_reviews(spark: SparkSession, pattern: str) -> DataFrame:
     Spark matches CSV columns by position, so files are grouped by their header
     and every group is read in its own column order.
     """
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in file_headers(spark, pattern):
-        groups.setdefault(header, []).append(path)
+    groups = file_headers(spark, pattern)
     if not groups:
         raise FileNotFoundError(pattern)
     frames = []
-    for header, paths in sorted(groups.items()):
+    for header, paths in groups:
         fields = [T.StructField(name or f"_c{i}", schemas.KNOWN_TYPES.get(name, T.StringType())) for i, name in enumerate(header)]
         frames.append(read_csv(spark, paths, T.StructType(fields)))
     return union_all(frames)

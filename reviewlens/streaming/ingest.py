@@ -10,17 +10,22 @@ from reviewlens.sources.feed import REQUEST, flatten_pages
 
 
 def page_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    return spark.readStream.schema(schemas.FEED_PAGE).option("maxFilesPerTrigger", files_per_trigger).json(landing)
+    """Landed pages with the time their file arrived."""
+    pages = spark.readStream.schema(schemas.FEED_PAGE).option("maxFilesPerTrigger", files_per_trigger).json(landing)
+    return pages.withColumn("arrived", F.col("_metadata.file_modification_time"))
 
 
 def new_reviews(pages: DataFrame, delay: str = "7 days") -> DataFrame:
     """Reviews of successful pages, each id once.
 
-    State is kept per review id and dropped once the watermark has passed it.
+    The watermark follows the arrival of the pages, not the age of the reviews, so a
+    late page with old reviews loses none.  State is kept per review id and dropped
+    once the watermark has passed its arrival.
     """
-    rows = flatten_pages(pages.filter(F.coalesce("success", F.lit(0)) != 0)).drop("page_no", "pos")
+    rows = flatten_pages(pages.filter(F.coalesce("success", F.lit(0)) != 0), ("arrived",)).drop("page_no", "pos")
     timed = rows.withColumn("ts", F.timestamp_seconds("timestamp_created"))
-    return timed.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["recommendationid"])
+    once = timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["recommendationid"])
+    return once.drop("arrived")
 
 
 def start_ingest(
