@@ -84,7 +84,7 @@ def test_token_counts(spark):
         text = "a null id" if row["doc_id"] is None else texts[row["doc_id"]] or ""
         expected = len(library.encode(text, add_special_tokens=False).ids)
         assert (row["n_bytes"], row["n_tokens"], row["over_limit"]) == (len(text.encode()), expected, expected > 2048)
-    assert token_counts.count_tokens(hard_documents(spark, []).limit(0), path).count() == 0
+    assert token_counts.count_tokens(hard_documents(spark, [""]).limit(0), path).count() == 0
 
 
 def test_packing(spark):
@@ -150,7 +150,7 @@ def test_licences(spark):
     found = by_id[5]["findings"][0]
     assert texts[5][found["start"] : found["end"]] == notice and found["edits"] == 0
     assert by_id[6]["labels"] == "all-rights-reserved" and by_id[8]["labels"] == ""
-    assert license_scan.scan(hard_documents(spark, []).limit(0)).count() == 0
+    assert license_scan.scan(hard_documents(spark, [""]).limit(0)).count() == 0
 
 
 def test_language_mixture(spark):
