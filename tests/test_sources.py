@@ -67,6 +67,17 @@ def test_feed_rules(spark, tmp_path):
     assert {r["appid"]: (r["positive"], r["negative"]) for r in progress.collect()} == {1: (5, 2), 2: (1, 0)}
 
 
+def test_stream_keeps_late_reviews(spark, tmp_path):
+    args = [str(tmp_path / n) for n in ("landing", "out", "ckpt")]
+    land(tmp_path / "landing", [page(1, "positive", 0, [1, 2])], "first")
+    start_ingest(spark, *args).awaitTermination()
+    month = 30 * 86400  # written a month before the reviews that landed first
+    land(tmp_path / "landing", [page(1, "positive", 1, [3 - month, 4 - month])], "second")
+    start_ingest(spark, *args).awaitTermination()
+    got = spark.read.parquet(args[1])
+    assert sorted(r["recommendationid"] for r in got.collect()) == [3 - month, 4 - month, 1, 2]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     args = [str(tmp_path / n) for n in ("landing", "out", "ckpt")]
     land(tmp_path / "landing", [page(1, "positive", 0, [1, 2, 3]), page(2, "negative", 0, [4])], "first")
