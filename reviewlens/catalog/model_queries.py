@@ -105,7 +105,10 @@ def sentiment_trained(spark, sf):
     return scored.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("score"), 6).alias("mean_score"))
 
 
-@query()
+@query(f"""
+WITH s AS ({sql_text.sentences("documents", "text", "doc_id")}),
+v AS (SELECT len(regexp_extract_all(lower(sentence), '[aeiou]'))::DOUBLE / greatest(length(sentence), 1) AS share FROM s)
+SELECT CASE WHEN share >= 0.4 THEN 'POSITIVE' ELSE 'NEGATIVE' END AS label, count(*) AS n FROM v GROUP BY ALL""")
 def sentiment_user_model(spark, sf):
     """A user's model behind the Arrow interface (here: share of vowels)."""
 
@@ -253,7 +256,7 @@ def nmf_topics(spark, sf):
 
 @query()
 def lda_topics(spark, sf):
-    _, model = _fitted(spark, sf, "lda", iterations=5)
+    _, model = _fitted(spark, sf, "lda")
     return topic_export(model, spark)
 
 
@@ -272,7 +275,7 @@ def document_map(spark, sf):
 @query()
 def topic_count_study(spark, sf):
     data = _study(spark, sf, "lsa")
-    return topic_study.find_topic_count(data, counts=(5, 8), stability_runs=1, gate=False).metrics
+    return topic_study.find_topic_count(data, counts=(5, 8), gate=False).metrics
 
 
 @query()
@@ -291,7 +294,7 @@ def fixed_lsa_topics(spark, sf):
 @query()
 def fixed_lda_topics(spark, sf):
     data = fixed_study.fixed_input(fixed_docs(spark, sf), ["doc_id"])
-    return fixed_study.export(data, fixed_study.fit_fixed(data, "lda", TOPICS, passes=2, sampling=0.2))
+    return fixed_study.export(data, fixed_study.fit_fixed(data, "lda", TOPICS))
 
 
 @query()
@@ -327,7 +330,7 @@ def density_clusters(spark, sf):
 @query()
 def reduced_embeddings(spark, sf):
     reduced = embedding.reduce_dimensions(table(spark, sf, "embeddings"), ["vec_id"])
-    return reduced.select("vec_id", F.size("reduced").alias("dimensions"))
+    return reduced.select("vec_id", "reduced")
 
 
 @query()
@@ -345,11 +348,13 @@ def topic_map(spark, sf):
 @query()
 def sentence_embeddings(spark, sf):
     tokens = review_analysis.topic_tokens(_sentences(spark, sf), ["doc_id", "sent_pos"])
-    vectors = embedding.embed_by_lsa(tokens, ["doc_id", "sent_pos"], dimensions=16)
-    return vectors.select("doc_id", "sent_pos", F.size("embedding").alias("dimensions"))
+    return embedding.embed_by_lsa(tokens, ["doc_id", "sent_pos"]).select("doc_id", "sent_pos", "embedding")
 
 
-@query()
+@query(f"""
+WITH s AS ({sql_text.sentences("documents", "text", "doc_id")})
+SELECT doc_id, sent_pos, array_to_string(list_transform(['a', 'e', 'i', 'n', 'o', 'r', 's', 't'],
+  lambda c: length(lower(sentence)) - length(replace(lower(sentence), c, ''))), ',') AS embedding FROM s""")
 def user_embeddings(spark, sf):
     """A user's encoder behind the Arrow interface (here: letter counts)."""
 
@@ -357,7 +362,8 @@ def user_embeddings(spark, sf):
         return lambda batch: [[t.lower().count(ch) for ch in "aeinorst"] for t in batch]
 
     vectors = embedding.embed_with(_sentences(spark, sf), load)
-    return vectors.select("doc_id", "sent_pos", F.size("embedding").alias("dimensions"))
+    counts = F.transform("embedding", lambda x: x.cast("int").cast("string"))
+    return vectors.select("doc_id", "sent_pos", F.array_join(counts, ",").alias("embedding"))
 
 
 @query()

@@ -21,6 +21,7 @@ vocab AS (
   SELECT term, df, tf, row_number() OVER (ORDER BY term) - 1 AS term_id FROM (
     SELECT * FROM terms
     WHERE df >= {settings.STUDY_MIN_DF} AND df <= {settings.STUDY_MAX_DF} * (SELECT count(*) FROM docs)
+      AND term NOT IN ({sql_text.sql_list(settings.STUDY_STOP_WORDS)})
     ORDER BY tf DESC, term LIMIT {settings.STUDY_MAX_FEATURES}))"""
 
 FIXED_SQL = f"""

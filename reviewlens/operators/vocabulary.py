@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Sequence
+
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -38,10 +40,17 @@ def study_vocabulary(
     max_features: int = settings.STUDY_MAX_FEATURES,
     min_df: int = settings.STUDY_MIN_DF,
     max_df: float = settings.STUDY_MAX_DF,
+    stop_words: Sequence[str] = settings.STUDY_STOP_WORDS,
 ) -> DataFrame:
-    """Most frequent terms by total count within the df limits; ids in term order."""
+    """Most frequent terms by total count within the df limits; ids in term order.
+
+    Lemmas may be stop words although the words they come from are not ("plays"),
+    so the stop list acts on the terms once more.
+    """
     n = document_count(tokens_df)
     kept = term_counts(tokens_df).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n))
+    if stop_words:
+        kept = kept.filter(~F.col("term").isin(*stop_words))
     top = kept.orderBy(F.desc("tf"), "term").limit(max_features)
     # at most max_features rows from here on
     return top.withColumn("term_id", F.row_number().over(Window.orderBy("term")) - 1)

@@ -65,6 +65,16 @@ def test_lda(spark, features):
     assert all(list(r["scores"]) == sorted(r["scores"], reverse=True) for r in export)
 
 
+def test_lda_recovers_planted_topics(features):
+    model = lda.fit_lda(features, 3, TERMS)
+    weights = model.weights()
+    shares = np.array([[weights[t, g * 10 : g * 10 + 10].sum() for g in range(3)] for t in range(3)])
+    assert sorted(shares.argmax(axis=1)) == [0, 1, 2] and shares.max(axis=1).min() > 0.8
+    assert np.allclose(model.model.estimatedDocConcentration().toArray(), 1 / 3)
+    passes = lda.fit_lda_passes(features, 3, TERMS, passes=4, sampling=0.2)
+    assert np.allclose(passes.weights().sum(axis=1), 1)
+
+
 def test_stability_and_dominant(features):
     model = svd.fit_lsa(features, 2, TERMS)
     assert topic_model.best_match_mean(model, model) == pytest.approx(1)
