@@ -250,7 +250,7 @@ def lsa_explained_variance(spark, sf):
 
 @query()
 def nmf_topics(spark, sf):
-    _, model = _fitted(spark, sf, "nmf", rounds=6)
+    _, model = _fitted(spark, sf, "nmf")
     return topic_export(model, spark)
 
 

@@ -21,6 +21,8 @@ PARTIAL = "name string, block int, part int, data binary"
 def csr_chunks(batch, column: int, width: int):
     """(rows, indices, values, starts) pieces of a vector column, bounded in size."""
     struct = batch.column(column)
+    if len(struct) and np.asarray(struct.field("type")).max():  # a dense row has no indices: it would count as empty
+        raise ValueError("sparse vectors are needed")
     index_lists, value_lists = struct.field("indices"), struct.field("values")
     offsets = np.asarray(index_lists.offsets)
     indices, values = np.asarray(index_lists.values), np.asarray(value_lists.values)
@@ -94,11 +96,7 @@ def fold(features: DataFrame, width: int, start: Callable, step: Callable) -> di
             "part": pa.array([first["part"] // FAN_IN], pa.int32()), "data": pa.array([total.tobytes()], pa.binary()),
         })
 
-    # A task hands on its sums once, so fewer, longer tasks mean less to add up.
     parts = features.rdd.getNumPartitions()
-    limit = 2 * features.sparkSession.sparkContext.defaultParallelism
-    if parts > limit:
-        features, parts = features.coalesce(limit), limit
     partials = features.mapInArrow(run, PARTIAL)
     while True:
         group = F.floor(F.col("part") / FAN_IN).alias("g")

@@ -17,6 +17,8 @@ from reviewlens.sources.review_files import CSV_OPTIONS
 
 # Names of the artefacts of one analysis.
 ARTEFACTS = ("topic_info", "topic_details", "document_topics", "sentiment_analysis")
+#: Further tables that are saved and loaded where an analysis has them.
+MORE_TABLES = ("topic_names", "markup_usage", "topic_vectors", "topic_terms")
 
 
 def new_stamp() -> str:
@@ -49,9 +51,9 @@ def run_summary(tables: dict[str, DataFrame], stamp: str) -> DataFrame:
 
 
 def save_analysis(tables: dict[str, DataFrame], base: str, stamp: str | None = None, csv: bool = False) -> str:
-    """Write the artefacts of one analysis under ``run_id=<stamp>``; returns the id."""
+    """Write the tables of one analysis under ``run_id=<stamp>``; returns the id."""
     stamp = stamp or new_stamp()
-    for name in ARTEFACTS:
+    for name in (*ARTEFACTS, *MORE_TABLES):
         if name in tables:
             tables[name].write.mode("overwrite").parquet(f"{base}/{name}/run_id={stamp}")
             if csv:
@@ -61,9 +63,9 @@ def save_analysis(tables: dict[str, DataFrame], base: str, stamp: str | None = N
 
 
 def load_analysis(spark: SparkSession, base: str, run_id: str) -> dict[str, DataFrame]:
-    """All artefacts of one saved analysis by name, the summary included."""
+    """All tables of one saved analysis by name, the summary included."""
     found = {}
-    for name in ARTEFACTS:
+    for name in (*ARTEFACTS, *MORE_TABLES):
         table = _read_or_none(lambda: spark.read.parquet(f"{base}/{name}/run_id={run_id}"))
         if table is not None:
             found[name] = table

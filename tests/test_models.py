@@ -54,6 +54,15 @@ def test_nmf(features, matrix):
     assert error < 0.75 * np.linalg.norm(matrix)
 
 
+def test_nmf_stops_and_dense_rows_are_refused(spark, features, matrix):
+    model = nmf.fit_nmf(features, 3, TERMS)
+    assert 1 < len(model.errors) < nmf.MOST_ROUNDS
+    assert model.errors[-2] - model.errors[-1] <= nmf.TOLERANCE * model.errors[0]
+    dense = spark.createDataFrame([(0, Vectors.dense(matrix[0]))], ["id", "features"])
+    with pytest.raises(Exception, match="sparse vectors are needed"):
+        nmf._pass(dense.select("features"), model.components)
+
+
 def test_lda(spark, features):
     model = lda.fit_lda(features, 3, TERMS, iterations=15)
     assert np.allclose(model.weights().sum(axis=1), 1)

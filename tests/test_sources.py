@@ -165,5 +165,10 @@ def test_whole_analysis(spark, tmp_path):
     assert saved["document_topics"].count() == 200
     ids = sorted(r["document_id"] for r in saved["document_topics"].collect())
     assert ids == list(range(200))
+    assert set(saved) == {*results.ARTEFACTS, *results.MORE_TABLES, "summary"}
+    topics = {r["topic"] for r in saved["topic_info"].collect()}
+    assert {r["topic"] for r in saved["topic_vectors"].collect()} == topics
+    assert saved["topic_terms"].filter("topic >= 0").select("topic").distinct().count() == 6
+    assert saved["topic_names"].count() >= 6 and saved["markup_usage"].count() > 0
     found = saved["sentiment_analysis"].filter("topic >= 0").collect()
     assert len(found) == 6 and {r["sentiment_mean"] for r in found} == {1.0, -1.0}
