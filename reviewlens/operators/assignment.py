@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from reviewlens import settings
 from reviewlens.functions.vectors import first_max_index
-from reviewlens.scale import salted_join
+from reviewlens.operators.ranks import running_total
+from reviewlens.scale import join_lookup, salted_join
 
 
 def dominant_topic(df: DataFrame, distribution: str = "distribution", out: str = "topic") -> DataFrame:
@@ -43,9 +44,9 @@ def valid_topics(sizes: DataFrame) -> DataFrame:
 def order_by_size(assigned: DataFrame, cluster: str = "cluster", keys: list[str] | None = None, bounded: bool = False) -> DataFrame:
     """Renumber clusters 0.. by size (0 the largest); outliers keep -1."""
     sizes = assigned.filter(F.col(cluster).cast("string") != str(settings.OUTLIER_TOPIC)).groupBy(cluster).agg(F.count(F.lit(1)).alias("_n"))
-    # one row per cluster: the window sees cluster rows only
-    ranked = sizes.select(
-        cluster, (F.row_number().over(Window.orderBy(F.desc("_n"), cluster)) - 1).cast("int").alias("topic")
+    # the number of clusters grows with the data: no window over all of them
+    ranked = running_total(sizes.withColumn("_first", -F.col("_n")), ["_first", cluster], out="_rank").select(
+        cluster, (F.col("_rank") - 1).cast("int").alias("topic")
     )
     if bounded:
         joined = assigned.join(F.broadcast(ranked), cluster, "left")
@@ -68,8 +69,9 @@ def cross_similarity(a: DataFrame, b: DataFrame) -> DataFrame:
     """
 
     def unit(df: DataFrame) -> DataFrame:
-        length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("topic")))
-        return df.withColumn("w", F.when(length > 0, F.col("w") / length).otherwise(0.0))
+        lengths = df.groupBy("topic").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_length"))
+        scaled = F.when(F.col("_length") > 0, F.col("w") / F.col("_length")).otherwise(0.0)
+        return join_lookup(df, lengths, "topic", ["dim"], "inner").withColumn("w", scaled).drop("_length")
 
     left = unit(a).select("dim", F.col("topic").alias("topic_a"), F.col("w").alias("wa"))
     right = unit(b).select("dim", F.col("topic").alias("topic_b"), F.col("w").alias("wb"))

@@ -62,6 +62,10 @@ class LsaModel(TopicModel):
             return self.singular_values**2
         return np.abs(self.explained_variance_ratio)
 
+    def leading(self, k: int) -> "LsaModel":
+        """The model of the first ``k`` components: those of a larger fit are the same."""
+        return LsaModel(self.components[:k], self.terms, self.singular_values[:k])
+
     def refit(self, features: DataFrame, column: str = "features") -> "LsaModel":
         return fit_lsa(features, self.k, self.terms, column)
 
@@ -71,11 +75,16 @@ def fit_lsa(
     k: int,
     terms: list[str],
     column: str = "features",
-    rounds: int = 5,
+    rounds: int = 20,
+    tolerance: float = 1e-7,
     extra: int = 10,
     seed: int = settings.SEED,
 ) -> LsaModel:
-    """K right singular vectors; the largest entry of each is made positive."""
+    """K right singular vectors; the largest entry of each is made positive.
+
+    A round is one pass over the documents.  The rounds end when none of the K squared
+    singular values moves by more than ``tolerance`` of itself, or after ``rounds``.
+    """
     width = len(terms)
     k = min(k, width)
     block = min(k + extra, width)
@@ -93,11 +102,18 @@ def fit_lsa(
         shared.unpersist()
         return product
 
-    for _ in range(rounds):
-        basis, _ = np.linalg.qr(gram_times(basis))
-    small = basis.T @ gram_times(basis)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    order = np.argsort(values)[::-1][:k]
+    before = None
+    for left in reversed(range(rounds)):
+        product = gram_times(basis)
+        small = basis.T @ product
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][:k]
+        leading = values[order]
+        settled = before is not None and np.allclose(leading, before, rtol=tolerance, atol=1e-12 * leading.max(initial=0.0))
+        if settled or not left:
+            break
+        before = leading
+        basis, _ = np.linalg.qr(product)
     right = (basis @ vectors[:, order]).T
     peak = np.argmax(np.abs(right), axis=1)
     right *= np.where(right[np.arange(len(right)), peak] < 0, -1.0, 1.0)[:, None]

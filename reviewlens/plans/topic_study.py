@@ -96,12 +96,15 @@ def find_topic_count(
 ) -> StudyResult:
     """Fit every topic count, measure it, keep the best.
 
-    When no count passes the size gate, ``best`` is None and the metrics say why.
+    LSA is fitted once, with the largest count.  When no count passes the size gate, ``best`` is None and the metrics say why.
     """
     spark = data.features.sparkSession
     rows, models = [], {}
+    counts, terms = list(counts), data.space.terms
+    # the components of an SVD are nested: one fit serves all counts
+    widest = fit_lsa(data.features, max(counts), terms, **fit_options) if data.method == "lsa" and counts else None
     for k in counts:
-        model = FITTERS[data.method](data.features, k, data.space.terms, **fit_options)
+        model = widest.leading(k) if widest else FITTERS[data.method](data.features, k, terms, **fit_options)
         models[model.k] = model
         rows.append(judge(data, model, stability_runs, gate))
     metrics = metrics_frame(spark, rows)
