@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewlens.functions.formatting import run_stamp
-from reviewlens.scale import salted_join
+from reviewlens.scale import join_lookup
 from reviewlens.sources import schemas
 
 REQUEST = ["appid", "review_type"]
@@ -15,6 +15,16 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schemas.FEED_PAGE).json(path)
 
 
+def _with_request(rows: DataFrame, lookup: DataFrame, keys, salt_by) -> DataFrame:
+    """Rows joined to one row per request; nulls in the keys meet each other.
+
+    The lookup holds no texts: where its checked size is small the pages stay in place.
+    """
+    request = F.struct(*keys)
+    keyed = lookup.withColumn("_request", request).drop(*keys)
+    return join_lookup(rows.withColumn("_request", request), keyed, "_request", list(salt_by), "inner").drop("_request")
+
+
 def followed_pages(pages: DataFrame) -> DataFrame:
     """Pages a client following the cursor would have kept.
 
@@ -26,7 +36,7 @@ def followed_pages(pages: DataFrame) -> DataFrame:
     ends = pages.groupBy(*REQUEST).agg(
         F.min(F.when(broken, F.col("page_no"))).alias("_broken"), F.min(F.when(final, F.col("page_no"))).alias("_final")
     )
-    joined = salted_join(pages, ends, REQUEST, ["page_no"], "inner")
+    joined = _with_request(pages, ends, REQUEST, ["page_no"])
     before = F.col("_broken").isNull() | (F.col("page_no") < F.col("_broken"))
     until = F.col("_final").isNull() | (F.col("page_no") <= F.col("_final"))
     return joined.filter(before & until).drop("_broken", "_final")
@@ -57,7 +67,7 @@ def with_fetch_columns(rows: DataFrame, keys=REQUEST, salt_by=("recommendationid
     """Add fetch_date and total_reviews, the size of this fetch."""
     totals = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("total_reviews"))
     stamped = rows.withColumn("fetch_date", run_stamp() if stamp is None else F.lit(stamp))
-    return salted_join(stamped, totals, list(keys), list(salt_by), "inner")
+    return _with_request(stamped, totals, keys, salt_by)
 
 
 def feed_reviews(pages: DataFrame, cap: int | None = None, stamp: str | None = None) -> DataFrame:

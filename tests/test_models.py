@@ -37,6 +37,12 @@ def test_lsa_equals_numpy(features, matrix):
     assert np.allclose([got[i] for i in range(120)], scores)
 
 
+def test_lsa_leading_components(features):
+    wide, narrow = svd.fit_lsa(features, 5, TERMS).leading(3), svd.fit_lsa(features, 3, TERMS)
+    assert wide.k == 3 and np.allclose(wide.singular_values, narrow.singular_values, rtol=1e-5)
+    assert np.allclose(wide.components, narrow.components, atol=1e-2)
+
+
 def test_lsa_is_repeatable(features):
     a, b = svd.fit_lsa(features, 3, TERMS), svd.fit_lsa(features.repartition(2), 3, TERMS)
     assert np.allclose(a.components, b.components, atol=1e-6)

@@ -67,6 +67,14 @@ def test_feed_rules(spark, tmp_path):
     assert {r["appid"]: (r["positive"], r["negative"]) for r in progress.collect()} == {1: (5, 2), 2: (1, 0)}
 
 
+def test_feed_keeps_pages_without_a_request(spark, tmp_path):
+    land(tmp_path / "landing", [{**page, "review_type": None} if page["appid"] == 2 else page for page in PAGES])
+    pages = feed.read_pages(spark, str(tmp_path / "landing"))
+    rows = feed.feed_reviews(pages).collect()
+    assert {r["recommendationid"] for r in rows if r["review_type"] is None} == {10}
+    assert {r["total_reviews"] for r in rows if r["review_type"] is None} == {1}
+
+
 def test_stream_keeps_late_reviews(spark, tmp_path):
     args = [str(tmp_path / n) for n in ("landing", "out", "ckpt")]
     land(tmp_path / "landing", [page(1, "positive", 0, [1, 2])], "first")
