@@ -9,8 +9,8 @@ such words, so the whole is a distribution over words, unseen ones as one outcom
 Training: counts of all words of all training documents set the vocabulary, the
 classes and the output biases.  The weights are then trained by truncated
 backpropagation through time, in rounds: each partition trains a copy on its share of
-the training documents (a fixed fraction of them, chosen by id, which grows with the
-input), and the copies are averaged by Spark.  Scoring reads whole documents window by
+the round's documents, and the copies are averaged by Spark; every training document is
+in one round, chosen by its id.  Scoring reads whole documents window by
 window and carries the state from one window to the next.
 
 A table of the most frequent words, of bounded size, is broadcast; counts of the other
@@ -46,8 +46,8 @@ EMBEDDING, HIDDEN = 16, 16
 #: Steps of a window, documents of a batch, for scoring and for training.
 SCORE_WINDOW, SCORE_BATCH = 64, 256
 TRAIN_WINDOW, TRAIN_BATCH = 32, 64
-#: Rounds of training, and the share of the training documents in each: one in ``STRIDE``.
-ROUNDS, STRIDE = 2, 16
+#: Rounds of training; each training document is in one of them.
+ROUNDS = 4
 LEARNING_RATE, CLIP = 0.004, 5.0
 ADD = 0.1
 
@@ -304,6 +304,11 @@ def _model_words(words: list[bytes], numbers: dict[bytes, int]) -> np.ndarray:
     return np.minimum(found, WORDS)
 
 
+def of_round(documents: DataFrame, number: int) -> DataFrame:
+    """The documents of a round, by their id; null ids are in one round as well."""
+    return documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(ROUNDS)) == number)
+
+
 def train(documents: DataFrame, vocabulary: Vocabulary) -> GatedModel:
     """Rounds of training on every partition, averaged by the number of tokens."""
     context = documents.sparkSession.sparkContext
@@ -326,8 +331,7 @@ def train(documents: DataFrame, vocabulary: Vocabulary) -> GatedModel:
                     ["at", "value", "tokens"],
                 )
 
-        share = documents.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(STRIDE)) == number)
-        copies = share.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at long, value double, tokens long")
+        copies = of_round(documents, number).select(F.col("text").cast("string").alias("text")).mapInArrow(run, "at long, value double, tokens long")
         mean = copies.groupBy("at").agg((F.sum("value") / F.sum("tokens")).alias("value")).collect()
         if mean:
             flat = np.empty(PARAMETERS)
