@@ -122,13 +122,17 @@ class Scanner:
         for number, stretches in self.windows(line).items():
             notice, last = self.notices[number], -1
             for low, high in sorted(stretches):
-                at = max(low, last)
-                while at < high:
-                    match = notice.pattern.search(line, at, high)
+                # the best match may lie behind others: both sides of it are searched as well
+                waiting, ends = [(max(low, last), high)], []
+                while waiting:
+                    at, stop = waiting.pop()
+                    match = notice.pattern.search(line, at, stop) if at < stop else None
                     if not match:
-                        break
+                        continue
                     found.append((number, sum(match.fuzzy_counts), match.start(), match.end()))
-                    at = last = max(match.end(), at + 1)
+                    ends.append(max(match.end(), at + 1))
+                    waiting += [(ends[-1], stop), (at, match.start())]  # the earlier side first
+                last = max([last, *ends])
         return found
 
     def scan(self, text: str | None):
