@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.llm import (
-    decontaminate, exact_search, language_mixture, license_scan, line_dedup, near_duplicates, packing, recurrent_lm,
-    token_counts, warc_derivatives,
+    decontaminate, exact_search, language_mixture, license_scan, line_dedup, merkle_manifest, near_duplicates, ngram_join,
+    packing, phrase_mining, recurrent_lm, sql_text, token_counts, warc_derivatives,
 )
 from reviewlens.llm.common import table
 
@@ -58,6 +58,22 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 7 == 0
+    n_chars = F.when(tampered, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle_manifest.manifest(documents, fields, "lang", "doc_id", {"n_chars": n_chars}).drop("siblings")
+
+
+def op13_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_mining.collocations(table(spark, sf_dir, "documents"), least=100, covered=100, top=2000)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_language_mixture": op2_language_mixture,
@@ -69,6 +85,9 @@ QUERIES = {
     "op8_license_scan": op8_license_scan,
     "op9_setsketch": op9_setsketch,
     "op10_packing": op10_packing,
+    "op11_ngram_join": op11_ngram_join,
+    "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_phrase_mining": op13_phrase_mining,
 }
 OP4_SQL = """
 WITH v AS (
@@ -85,4 +104,10 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
-ORACLE_SQL: dict[str, str] = {"op4_exact_search": OP4_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_search": OP4_SQL,
+    "op9_setsketch": sql_text.OP9_SQL,
+    "op11_ngram_join": sql_text.OP11_SQL,
+    "op12_merkle_manifest": sql_text.OP12_SQL,
+    "op13_phrase_mining": sql_text.OP13_SQL,
+}

@@ -39,4 +39,4 @@ def test_stages_on_an_empty_table(spark, sf, number):
 
 
 def test_queries_are_named():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
