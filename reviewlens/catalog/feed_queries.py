@@ -88,7 +88,7 @@ SELECT event_id, user_id, event_type FROM (
   SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS idx FROM events) WHERE idx <= 100""")
 def cap_per_key(spark, sf):
     rows = table(spark, sf, "events").select("event_id", "user_id", "event_type")
-    return feed.cap_per_request(rows, keys=["event_type"], order=["event_id"])
+    return feed.cap_per_request(rows, cap=100, keys=["event_type"], order=["event_id"])
 
 
 @query("""
