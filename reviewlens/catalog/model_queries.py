@@ -312,19 +312,20 @@ EPSILON, SAMPLES, CLUSTER = 1.2, 6, 8
 WITH RECURSIVE cells AS (
   SELECT list_transform(embedding::DOUBLE[], lambda x: CAST(floor(x / {EPSILON / 16!r}) AS BIGINT)) AS cell, vec_id, embedding::DOUBLE[] AS v FROM embeddings),
 near AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d FROM cells a, cells b WHERE list_distance(a.v, b.v) <= {EPSILON}),
-core AS (SELECT a AS id, count(*) AS n FROM near GROUP BY a HAVING count(*) >= {SAMPLES}),
+core AS (SELECT a AS id, d AS core FROM (SELECT a, d, row_number() OVER (PARTITION BY a ORDER BY d) AS place FROM near) WHERE place = {SAMPLES}),
 edges AS (SELECT a, b FROM near WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
 walk(id, root) AS (SELECT id, id FROM core UNION SELECT e.b, w.root FROM walk w JOIN edges e ON e.a = w.id),
 label AS (SELECT id, min(root) AS label FROM walk GROUP BY id),
-big AS (SELECT l.label, count(*) AS n, min(CAST(c.cell AS VARCHAR)) AS first FROM label l JOIN cells c ON c.vec_id = l.id
-        GROUP BY l.label HAVING count(*) >= {CLUSTER}),
-topics AS (SELECT label, row_number() OVER (ORDER BY n DESC, first) - 1 AS topic FROM big)
-SELECT c.vec_id, coalesce(t.topic, -1)::INTEGER AS topic
-FROM cells c LEFT JOIN label l ON l.id = c.vec_id LEFT JOIN topics t ON t.label = l.label""")
+big AS (SELECT l.label, count(*) AS n, min(CAST(c.cell AS VARCHAR)) AS first, min(o.core) AS best
+        FROM label l JOIN cells c ON c.vec_id = l.id JOIN core o ON o.id = l.id GROUP BY l.label HAVING count(*) >= {CLUSTER}),
+topics AS (SELECT label, best, row_number() OVER (ORDER BY n DESC, first) - 1 AS topic FROM big)
+SELECT c.vec_id, coalesce(t.topic, -1)::INTEGER AS topic,
+  round(CASE WHEN t.topic IS NULL THEN 0.0 WHEN o.core > 0 THEN least(1.0, t.best / o.core) ELSE 1.0 END, 6)::DOUBLE AS strength
+FROM cells c LEFT JOIN label l ON l.id = c.vec_id LEFT JOIN core o ON o.id = c.vec_id LEFT JOIN topics t ON t.label = l.label""")
 def density_clusters(spark, sf):
     vectors = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     found = density.density_topics(vectors, ["vec_id"], "v", 64, EPSILON, SAMPLES, CLUSTER)
-    return found.select("vec_id", "topic")
+    return found.select("vec_id", "topic", F.round("strength", 6).alias("strength"))
 
 
 @query()

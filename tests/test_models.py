@@ -1,9 +1,12 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from reviewlens.operators import density, embedding, lda, nmf, svd, topic_model
+from reviewlens.functions import special
+from reviewlens.operators import embedding, lda, nmf, svd, topic_model
 from reviewlens.plans import fixed_study, topic_study
 
 TERMS = [f"t{i:02d}" for i in range(30)]
@@ -85,9 +88,59 @@ def test_lda_recovers_planted_topics(features):
     weights = model.weights()
     shares = np.array([[weights[t, g * 10 : g * 10 + 10].sum() for g in range(3)] for t in range(3)])
     assert sorted(shares.argmax(axis=1)) == [0, 1, 2] and shares.max(axis=1).min() > 0.8
-    assert np.allclose(model.model.estimatedDocConcentration().toArray(), 1 / 3)
-    passes = lda.fit_lda_passes(features, 3, TERMS, passes=4, sampling=0.2)
+    passes = lda.fit_lda_passes(features, 3, TERMS, passes=4)
     assert np.allclose(passes.weights().sum(axis=1), 1)
+    shares = np.array([[passes.weights()[t, g * 10 : g * 10 + 10].sum() for g in range(3)] for t in range(3)])
+    assert sorted(shares.argmax(axis=1)) == [0, 1, 2]
+
+
+def plain_lda(matrix, components, prior, passes):
+    """Variational Bayes one document at a time; the topics and the bound before each pass."""
+    bounds = []
+    for _ in range(passes):
+        topics = np.exp(special.digamma(components) - special.digamma(components.sum(axis=1))[:, None])
+        counts, bound = np.zeros_like(components), 0.0
+        for row in matrix:
+            weights = np.ones(len(components)) if row.any() else np.full(len(components), prior)
+            for _ in range(lda.MOST_UPDATES if row.any() else 0):
+                spread = np.exp(special.digamma(weights) - special.digamma(weights.sum()))
+                new = prior + spread * ((row / np.maximum(spread @ topics, 1e-100)) @ topics.T)
+                change, weights = np.abs(new - weights).mean(), new
+                if change < lda.MEAN_CHANGE:
+                    break
+            logs = special.digamma(weights) - special.digamma(weights.sum())
+            mixed = np.exp(logs) @ topics
+            counts += np.exp(logs)[:, None] * topics * (row / np.maximum(mixed, 1e-100))
+            bound += row[row > 0] @ np.log(mixed[row > 0]) + ((prior - weights) * logs).sum()
+            bound += sum(math.lgamma(w) - math.lgamma(prior) for w in weights) + math.lgamma(prior * len(weights)) - math.lgamma(weights.sum())
+        for topic in components:
+            logs = special.digamma(topic) - special.digamma(topic.sum())
+            bound += ((prior - topic) * logs).sum() + sum(math.lgamma(w) - math.lgamma(prior) for w in topic)
+            bound += math.lgamma(prior * len(topic)) - math.lgamma(topic.sum())
+        bounds.append(bound)
+        components = prior + counts
+    return components, bounds
+
+
+def test_lda_equals_a_plain_version(features, matrix):
+    model = lda.fit_lda(features, 3, TERMS, iterations=4)
+    components, bounds = plain_lda(matrix, lda._start(3, 30, 42), 1 / 3, 4)
+    assert np.allclose(model.components, components, rtol=1e-6)
+    assert np.allclose(model.bounds, bounds, rtol=1e-9)
+
+
+def test_lda_bound_never_falls(features):
+    bounds = np.array(lda.fit_lda(features, 3, TERMS).bounds)
+    assert len(bounds) > 3 and (np.diff(bounds) >= -1e-3 * np.abs(bounds[:-1])).all() and bounds[-1] > bounds[0]
+
+
+def test_digamma_and_gammaln():
+    x = np.concatenate([np.geomspace(1e-3, 1e6, 300), [1.0, 2.0, 7.999, 8.0]])
+    assert np.allclose(special.gammaln(x), [math.lgamma(v) for v in x], rtol=1e-11, atol=1e-11)
+    h = 1e-5 * x
+    slope = (special.gammaln(x + h) - special.gammaln(x - h)) / (2 * h)
+    assert np.allclose(special.digamma(x), slope, rtol=1e-4, atol=1e-4)
+    assert abs(special.digamma(1.0) + 0.5772156649015329) < 1e-12
 
 
 def test_stability_and_dominant(features):
@@ -127,31 +180,7 @@ def test_fixed_study(spark, tmp_path):
     assert spark.read.option("header", True).csv(done[0]["path"]).count() == 3
 
 
-# --- density -------------------------------------------------------------------
-
-
-def brute_density(points, eps, min_samples, min_size):
-    """Point-level version over micro-cells, in numpy."""
-    d = points.shape[1]
-    side = eps / (2 * np.sqrt(d))
-    keys, inverse, n = np.unique(np.floor(points / side), axis=0, return_inverse=True, return_counts=True)
-    inverse = inverse.reshape(-1)
-    center = np.array([points[inverse == i].mean(axis=0) for i in range(len(keys))])
-    near = np.linalg.norm(center[:, None] - center[None], axis=2) <= eps
-    core = (near * n[None]).sum(axis=1) >= min_samples
-    label = np.where(core, np.arange(len(keys)), -1)
-    changed = True
-    while changed:
-        changed = False
-        for i in np.flatnonzero(core):
-            low = label[near[i] & core].min()
-            if low < label[i]:
-                label[i] = low
-                changed = True
-    for c in set(label) - {-1}:
-        if n[label == c].sum() < min_size:
-            label[label == c] = -1
-    return label[inverse]
+# --- reduction -----------------------------------------------------------------
 
 
 def blobs():
@@ -163,32 +192,6 @@ def blobs():
     return np.vstack([copies, a, b, noise])
 
 
-def test_density_equals_brute_force(spark):
-    points = blobs()
-    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<double>")
-    found = density.density_topics(df, ["id"], "v", 3, epsilon=0.4, min_samples=10, min_cluster_size=30)
-    rows = sorted(found.collect(), key=lambda r: r["id"])
-    got = np.array([r["topic"] for r in rows])
-    want = brute_density(points, 0.4, 10, 30)
-    pairs = {(g, w) for g, w in zip(got, want)}
-    assert len(pairs) == len(set(got)) == len(set(want))
-    assert (got == -1).sum() == (want == -1).sum()
-    sizes = [int((got == t).sum()) for t in range(got.max() + 1)]
-    assert sizes == sorted(sizes, reverse=True) and sizes[0] >= 300
-    assert all(0 <= r["strength"] <= 1 and (r["strength"] == 0) == (r["topic"] == -1) for r in rows)
-
-
-def test_crowded_square_is_split(spark, monkeypatch):
-    monkeypatch.setattr(density, "BLOCK_ROWS", 16)
-    rng = np.random.default_rng(2)
-    points = rng.uniform(0, 1, (400, 2))
-    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, v array<double>")
-    found = density.density_topics(df, ["id"], "v", 2, epsilon=0.06, min_samples=5, min_cluster_size=5)
-    got = np.array([r["topic"] for r in sorted(found.collect(), key=lambda r: r["id"])])
-    want = brute_density(points, 0.06, 5, 5)
-    assert len({(g, w) for g, w in zip(got, want)}) == len(set(got)) == len(set(want))
-
-
 def test_reduction_and_kmeans(spark):
     points = blobs()
     df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "id int, embedding array<double>")
