@@ -9,9 +9,10 @@ No phrase is more frequent than a part of it, so:
 2.  A pass over all documents counts, in the same way, the proposals *and* their negative
     border: the phrases that are no proposals themselves while both parts are.  All single
     words belong to one or the other.
-3.  Where a phrase of the border turns out frequent the proposals were incomplete.  Such
-    phrases join them, and a further pass counts what has become countable and was not
-    before, until the border holds no frequent phrase.  Then no frequent phrase is missed.
+3.  Where a phrase of the border turns out frequent the proposals were incomplete.  A
+    further pass counts what contains such a phrase and was not countable before: the
+    phrases both of whose parts are known as frequent, or are counted by this pass itself.
+    It goes on until the border holds no frequent phrase.  Then none is missed.
 
 Passes know phrases by 64-bit hashes and proposals by a bit table of bounded size; both
 err only towards more phrases.  A last pass counts the phrases left, about as many as
@@ -31,13 +32,13 @@ from __future__ import annotations
 import hashlib
 import math
 from collections import Counter
-from typing import Iterator
+from typing import Iterator, NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from reviewlens.llm.common import checkpointed, mix64
+from reviewlens.llm.common import BitTable, Words, bit_table, checkpointed, mix64, slices, words_of
 from reviewlens.scale import join_lookup
 
 #: Most words of a phrase.
@@ -48,57 +49,14 @@ SAMPLE = 8
 SLACK = 2.0
 #: Bounds of the bits of a table; beyond the upper one more phrases are counted, none less.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
-#: Words hashed at once, distinct phrases a task holds before it hands them on.
-CHUNK_WORDS, HELD = 400_000, 2_000_000
-#: Phrases held as text, and words whose hash is remembered.
-HELD_TEXTS, KNOWN_WORDS = 300_000, 1_000_000
+#: Distinct phrases a task holds before it hands them on, by hash and as text; rows handed on at once.
+HELD, HELD_TEXTS, EMITTED = 500_000, 400_000, 65_536
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
-_FOLD = bytes(255 if b in _PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+_END = 255  # in no UTF-8 text
+_FOLD = np.array([_END if b in _PIECE_ENDS else 32 if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+_BLANK = np.isin(np.arange(256), (32, _END))
 _TURNS = mix64(np.arange(11, 11 + WORDS, dtype=np.uint64)) | np.uint64(1)
-_END = b"\xff"
-
-
-class _WordHashes(dict):
-    """Hash of a word, remembered; 0 stands for the end of a piece."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = 0 if word == _END else int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1
-        if len(self) > KNOWN_WORDS:
-            self.clear()
-        self[word] = value
-        return value
-
-
-def tokens(text: str | None) -> list[bytes]:
-    """The words in lower case, with the byte 0xFF (in no UTF-8 text) at the end of each piece."""
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).replace(_END, b" \xff ").split() + [_END]
-
-
-class BitTable:
-    """A set of hashes of which no member is ever missed; its size is a power of two."""
-
-    def __init__(self, words: np.ndarray):
-        self.words = words
-
-    @classmethod
-    def empty(cls, bits: int) -> BitTable:
-        return cls(np.zeros(bits // 64, np.uint64))
-
-    @staticmethod
-    def _places(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
-        turned = mix64(hashes)
-        return [(part & np.uint64(bits - 1)) for part in (turned, turned >> np.uint64(31), turned * np.uint64(3) >> np.uint64(17))]
-
-    def add(self, hashes: np.ndarray) -> None:
-        for place in self._places(hashes, len(self.words) * 64):
-            np.bitwise_or.at(self.words, place >> np.uint64(6), np.uint64(1) << (place & np.uint64(63)))
-
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        found = np.ones(len(hashes), bool)
-        for place in self._places(hashes, len(self.words) * 64):
-            found &= (self.words[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-        return found
 
 
 def length_of(hashed: Column) -> Column:
@@ -115,101 +73,120 @@ def phrase_hashes(words: np.ndarray, seeds: np.ndarray, places: np.ndarray, leng
     return mix64(total) & ~np.uint64(7) | np.uint64(length)
 
 
-def countable(words: np.ndarray, seeds: np.ndarray, table: BitTable) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each length, the places and hashes of the table's phrases and of their border."""
-    places = np.flatnonzero(words)
+def countable(
+    words: np.ndarray, seeds: np.ndarray, table: BitTable, fresh: BitTable | None = None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For each length, the places and hashes of the table's phrases and of their border.
+
+    With ``fresh``, phrases that turned out frequent since, only what an earlier pass over
+    the table did not count and they, or what this pass counts, make countable.
+    """
+    none = np.zeros(0, np.int64)
+    places, extra = np.flatnonzero(words), none
     for length in range(1, WORDS + 1):
         hashes = phrase_hashes(words, seeds, places, length)
-        yield length, places, hashes
+        further = phrase_hashes(words, seeds, extra, length)
+        yield (length, places, hashes) if fresh is None else (length, extra, further)
+        held = table.holds(hashes)
         inside = np.zeros(len(words) + 1, bool)
-        inside[places[table.holds(hashes)]] = True
-        places = np.flatnonzero(inside[:-1] & inside[1:])
+        inside[places[held]] = True
+        following = np.flatnonzero(inside[:-1] & inside[1:])
+        if fresh is not None:
+            inside[places[~held][fresh.holds(hashes[~held])]] = True
+            inside[extra] = True
+            extra = np.setdiff1d(np.flatnonzero(inside[:-1] & inside[1:]), following, assume_unique=True)
+        places = following
 
 
 def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], keep_words: bool = False):
-    """Word hashes, language seeds and, if asked for, languages and words of bounded runs of documents."""
-    hashes, seeds = _WordHashes(), {}
-    words, counts, langs, kept, size = [], [], [], [], 0
-    for batch in batches:
-        for lang, text in zip(batch.column(0), batch.column(1)):
-            lang, found = lang.as_py(), tokens(text.as_py())
-            if lang not in seeds:
-                seeds[lang] = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, key=b"lang").digest(), "little"))
-            words.append(np.array([hashes[word] for word in found], np.uint64))
-            counts.append(len(found))
-            langs.append(lang)
-            if keep_words:
-                kept.extend(found)
-            size += len(found)
-            if size >= CHUNK_WORDS:
-                yield np.concatenate(words), np.repeat([seeds[x] for x in langs], counts), langs, counts, kept
-                words, counts, langs, kept, size = [], [], [], [], 0
-    if words:
-        yield np.concatenate(words), np.repeat([seeds[x] for x in langs], counts), langs, counts, kept
-
-
-def _counted(documents: DataFrame, table, before=None, only: int | None = None) -> DataFrame:
-    """``hash, count`` of the table's phrases and its border, and ``lang, count`` of all words.
-
-    With the table of an earlier pass, only what that one did not count; with ``only``,
-    one length.
+class Chunk(NamedTuple):
+    """Documents as one row of word hashes, 0 at the end of each piece, with seeds of their languages."""
+
+    words: np.ndarray
+    seeds: np.ndarray
+    langs: list[str]
+    #: text, and number in ``found``, of the word at each place; words of each text
+    owner: np.ndarray
+    number: np.ndarray
+    found: Words
+
+    def phrase(self, place: int, length: int) -> bytes:
+        first = int(self.number[place])
+        return b" ".join(map(self.found.word, range(first, first + length)))
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[Chunk]:
+    known: dict[str, np.uint64] = {}
+    for batch in slices(batches, "text"):
+        langs = batch.column("lang").to_pylist()
+        for lang in langs:
+            if lang not in known:
+                known[lang] = np.uint64(int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8, key=b"lang").digest(), "little"))
+        found = words_of(batch.column("text"), _FOLD, _BLANK)
+        n = len(found.hashes)
+        owners = np.repeat(np.arange(len(langs)), np.diff(found.firsts))
+        piece = np.cumsum(found.raw == _END, dtype=np.int64)[found.starts] + owners
+        change = np.zeros(n, bool)
+        change[1:] = piece[1:] != piece[:-1]
+        places = np.arange(n) + np.cumsum(change)
+        size = int(places[-1]) + 2 if n else 1
+        words, seeds, owner, number = (np.zeros(size, t) for t in (np.uint64, np.uint64, np.int32, np.int64))
+        words[places], owner[places], number[places] = found.hashes | np.uint64(1), owners, np.arange(n)
+        seeds[places] = np.array([known[lang] for lang in langs], np.uint64)[owners]
+        yield Chunk(words, seeds, langs, owner, number, found)
+
+
+def _counted(documents: DataFrame, table, least: int, fresh=None, only: int | None = None) -> DataFrame:
+    """``hash, count`` of the table's phrases and its border from ``least`` on, and ``lang, count`` of all words.
+
+    With ``fresh``, only what has become countable through it; with ``only``, one length.
     """
+    names = ["lang", "hash", "count"]
 
     def run(batches):
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size, totals = 0, Counter()
 
         def merged():
-            values, which = np.unique(np.concatenate([h for h, _ in held]), return_inverse=True)
-            return values, np.bincount(which, np.concatenate([c for _, c in held])).astype(np.int64)
+            every = np.concatenate([h for h, _ in held])
+            weights = np.concatenate([c for _, c in held])
+            order = np.argsort(every)
+            every, weights = every[order], weights[order]
+            starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+            return every[starts], np.add.reduceat(weights, starts)
 
         def emitted(values, counts):
-            return pa.RecordBatch.from_arrays([pa.nulls(len(values), pa.string()), pa.array(values.view(np.int64)), pa.array(counts)], ["lang", "hash", "count"])
-
-        for words, seeds, langs, lengths, _ in _chunks(batches):
-            ends = np.cumsum(lengths)
-            filled = np.concatenate(([0], np.cumsum(words != 0)))
-            for lang, low, high in zip(langs, ends - lengths, ends):
-                totals[lang] += int(filled[high] - filled[low])
-            old = {length: places for length, places, _ in countable(words, seeds, before.value)} if before else {}
-            for length, places, hashes in countable(words, seeds, table.value):
-                if only in (None, length):
-                    if before:
-                        hashes = hashes[~np.isin(places, old[length], assume_unique=True)]
-                    held.append(np.unique(hashes, return_counts=True))
-                    size += len(held[-1][0])
+            for at in range(0, len(values), EMITTED):
+                part = slice(at, at + EMITTED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.nulls(len(values[part]), pa.string()), pa.array(values[part].view(np.int64)), pa.array(counts[part])], names
+                )
+
+        for chunk in _chunks(batches):
+            for lang, n in zip(chunk.langs, np.diff(chunk.found.firsts).tolist()):
+                totals[lang] += n
+            found = countable(chunk.words, chunk.seeds, table.value, fresh.value if fresh else None)
+            hashes = [h for length, _, h in found if only in (None, length)]
+            hashes, counts = np.unique(np.concatenate(hashes), return_counts=True)
+            if len(hashes):
+                held.append((hashes, counts))
+                size += len(hashes)
             if size > HELD:
                 held = [merged()]
-                if len(held[0][0]) > HELD // 2:
-                    yield emitted(*held.pop())
-                size = sum(len(h) for h, _ in held)
+                size = len(held[0][0])
+                if size > HELD // 2:
+                    yield from emitted(*held.pop())
+                    size = 0
         if held:
-            yield emitted(*merged())
-        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())], ["lang", "hash", "count"])
+            yield from emitted(*merged())
+        yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())], names)
 
     rows = _texts(documents).mapInArrow(run, "lang string, hash long, count long")
-    return rows.groupBy("lang", "hash").agg(F.sum("count").alias("count"))
-
-
-def _table_of(hashes: DataFrame, bits: int) -> BitTable:
-    """The bit table of the column ``hash``, put together from parts of one task each."""
-
-    def run(batches):
-        table = BitTable.empty(bits)
-        for batch in batches:
-            table.add(batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64))
-        filled = np.flatnonzero(table.words)
-        yield pa.RecordBatch.from_arrays([pa.array(filled), pa.array(table.words[filled].view(np.int64))], ["place", "word"])
-
-    parts = hashes.select("hash").mapInArrow(run, "place long, word long")
-    found = parts.groupBy("place").agg(F.bit_or("word").alias("word")).toArrow()
-    table = BitTable.empty(bits)
-    table.words[found.column("place").to_numpy()] = found.column("word").to_numpy().view(np.uint64)
-    return table
+    counted = rows.groupBy("lang", "hash").agg(F.sum("count").alias("count"))
+    return counted.where(F.col("hash").isNull() | (F.col("count") >= least))
 
 
 def _proposals(documents: DataFrame, least: int) -> BitTable:
@@ -221,11 +198,11 @@ def _proposals(documents: DataFrame, least: int) -> BitTable:
     table = BitTable.empty(LEAST_BITS)
     for length in range(1, WORDS):
         shared = context.broadcast(table)
-        counted = checkpointed(_counted(sample, shared, only=length))
+        counted = checkpointed(_counted(sample, shared, lowered, only=length))
         if length == 1:
             words = counted.where("hash IS NULL").agg(F.sum("count")).first()[0] or 0
             table = BitTable.empty(min(MOST_BITS, max(LEAST_BITS, 1 << words.bit_length())))
-        grown = _table_of(counted.where((F.col("hash").isNotNull()) & (F.col("count") >= lowered)), len(table.words) * 64)
+        grown = bit_table(counted.where("hash IS NOT NULL"), len(table.words) * 64)
         table = BitTable(table.words | grown.words)
         shared.destroy()
     return table
@@ -242,31 +219,27 @@ def _absent(hashes: DataFrame, table) -> DataFrame:
 def frequent_hashes(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame, int, int]:
     """Hashes of frequent phrases and words, ``lang, n``, the bits of a table, the number of passes."""
     context = documents.sparkSession.sparkContext
-    table, before, passes = _proposals(documents, least), None, []
-    bits = len(table.words) * 64
-    while True:
-        shared = context.broadcast(table)
-        passes.append(checkpointed(_counted(documents, shared, before)))
-        counts = passes[0]
-        for other in passes[1:]:
-            counts = counts.unionByName(other.where("hash IS NOT NULL"))
-        # later passes leave out what earlier ones counted: no hash is in two of them
-        frequent = counts.where((F.col("hash").isNotNull()) & (F.col("count") >= least)).select("hash")
-        extendable = frequent.where(length_of(F.col("hash")) < WORDS)
-        failures = _table_of(_absent(extendable, shared), bits)
-        if before:
-            before.destroy()
-        if not failures.words.any():
-            shared.destroy()
-            totals = passes[0].where("hash IS NULL").select("lang", F.col("count").alias("n"))
-            return frequent, totals, bits, len(passes)
-        before, table = shared, BitTable(table.words | failures.words)
+    table = context.broadcast(_proposals(documents, least))
+    bits = len(table.value.words) * 64
+    first = checkpointed(_counted(documents, table, least))
+    totals = first.where("hash IS NULL").select("lang", F.col("count").alias("n"))
+
+    frequent, passes = first.where("hash IS NOT NULL").select("hash"), 1
+    failures = bit_table(_absent(frequent.where(length_of(F.col("hash")) < WORDS), table), bits)
+    if failures.words.any():
+        # what this pass counts it takes as frequent, so no phrase is left for another
+        fresh = context.broadcast(failures)
+        further = checkpointed(_counted(documents, table, least, fresh)).where("hash IS NOT NULL")
+        frequent, passes = frequent.unionByName(further.select("hash")), 2
+        fresh.destroy()
+    table.destroy()
+    return frequent, totals, bits, passes
 
 
 def frequent_phrases(documents: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     """``lang, phrase, length, f`` of all phrases and words with f of ``least`` or more; ``lang, n``."""
     hashes, totals, bits, _ = frequent_hashes(documents, least)
-    known = documents.sparkSession.sparkContext.broadcast(_table_of(hashes, bits))
+    known = documents.sparkSession.sparkContext.broadcast(bit_table(hashes, bits))
 
     def run(batches):
         found: Counter = Counter()
@@ -278,11 +251,16 @@ def frequent_phrases(documents: DataFrame, least: int) -> tuple[DataFrame, DataF
                 ["lang", "phrase", "length", "f"],
             )
 
-        for words, seeds, langs, lengths, kept in _chunks(batches, keep_words=True):
-            owner = np.repeat(np.arange(len(langs)), lengths)
-            for length, places, hashes in countable(words, seeds, known.value):
-                for place in places[known.value.holds(hashes)].tolist():
-                    found[langs[owner[place]], b" ".join(kept[place : place + length]), length] += 1
+        for chunk in _chunks(batches):
+            for length, places, hashes in countable(chunk.words, chunk.seeds, known.value):
+                held = known.value.holds(hashes)
+                places, hashes = places[held], hashes[held]
+                _, first, which, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+                other = phrase_hashes(mix64(chunk.words), chunk.seeds, places, length)
+                if (other != other[first][which]).any():  # two phrases of one hash
+                    first, counts = np.arange(len(places)), np.ones(len(places), np.int64)
+                for place, count in zip(places[first].tolist(), counts.tolist()):
+                    found[chunk.langs[chunk.owner[place]], chunk.phrase(place, length), length] += count
             if len(found) > HELD_TEXTS:
                 yield emitted()
                 found.clear()

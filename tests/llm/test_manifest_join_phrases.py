@@ -7,10 +7,11 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlens.llm import merkle_manifest, ngram_join, phrase_mining
+from reviewlens.llm import common, merkle_manifest, ngram_join, phrase_mining
 
 LOW = str.maketrans({chr(a): chr(a + 32) for a in range(65, 91)})
 FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -140,7 +141,7 @@ def join_rows(seed=5):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, monkeypatch, small):
     if small:  # divided columns, ties and several row blocks
-        for name, value in {"PAIRED": 3, "ROWS": 4, "FREQUENT_SETS": 4, "PARTS": 3, "COUNTERS": 500, "CELLS": 2000}.items():
+        for name, value in {"PAIRED": 3, "ROWS": 4, "FREQUENT_SETS": 4, "PARTS": 3, "LEAST": 8, "STRIDE": 2, "CELLS": 2000}.items():
             monkeypatch.setattr(ngram_join, name, value)
     rows = join_rows()
     found = [tuple(r) for r in ngram_join.similar(table_of(spark, rows)).collect()]
@@ -151,15 +152,28 @@ def test_ngram_join_of_nothing(spark):
     assert ngram_join.similar(table_of(spark, join_rows()).where("doc_id = -9")).count() == 0
 
 
-def test_frequent_counts_keep_what_is_frequent():
-    make = np.random.default_rng(1)
-    values = np.concatenate([make.integers(1000, 10**9, 50_000), np.repeat(np.arange(5), 3000)]).astype(np.uint64)
-    make.shuffle(values)
-    counts = ngram_join.FrequentCounts(200)
-    for part in np.array_split(values, 40):
-        counts.add(part)
-        counts.settle()
-    assert set(range(5)) <= set(counts.values.tolist()) and len(counts.values) <= 200
+def test_frequent_ngrams_are_bounded_and_ordered(spark, monkeypatch):
+    sets = [(2, [1, 2, 3, 10 + i]) for i in range(6)] + [(2, [3, 4, 50 + i, 60 + i]) for i in range(4)]
+    classes = spark.createDataFrame(sets, "stride long, least array<long>")
+    monkeypatch.setattr(ngram_join, "FREQUENT_SETS", 5)
+    grams, places = ngram_join._frequent(classes)
+    assert dict(zip(grams.tolist(), places.tolist())) == {4: 0, 1: 1, 2: 2, 3: 3}
+    monkeypatch.setattr(ngram_join, "FREQUENT", 2)
+    assert ngram_join._frequent(classes)[0].tolist() == [3]
+
+
+def test_words_of_a_column(monkeypatch):
+    monkeypatch.setattr(common, "HASHED_BYTES", 16)
+    texts = ["ab cd", None, "", "ef", "  x ", "gé" * 30 + " ab", " ", "cd", ""]
+    column = pa.array(["zz", *texts, "yy"]).slice(1, len(texts))
+    found = common.words_of(column, np.arange(256, dtype=np.uint8), np.arange(256) == 32)
+    want = [(i, w.encode()) for i, text in enumerate(texts) for w in (text or "").split()]
+    owner = np.repeat(np.arange(len(texts)), np.diff(found.firsts))
+    assert [(o, found.word(i)) for i, o in enumerate(owner)] == want
+    by_word = {}
+    for (_, word), value in zip(want, found.hashes.tolist()):
+        assert by_word.setdefault(word, value) == value
+    assert len(set(by_word.values())) == len(by_word)
 
 
 def test_common_counts():
@@ -207,8 +221,9 @@ def phrase_rows(seed=4):
 @pytest.mark.parametrize("least,covered,slack", [(5, 100, 2.0), (30, 70, 2.0), (20, 100, -6.0)])
 def test_phrases(spark, monkeypatch, least, covered, slack):
     monkeypatch.setattr(phrase_mining, "SLACK", slack)  # a negative one proposes too little: the border fails
-    for name, value in {"CHUNK_WORDS": 500, "HELD": 300, "HELD_TEXTS": 50, "KNOWN_WORDS": 5}.items():
+    for name, value in {"HELD": 300, "HELD_TEXTS": 50, "EMITTED": 40}.items():
         monkeypatch.setattr(phrase_mining, name, value)
+    monkeypatch.setattr(common, "SLICE_BYTES", 900)
     rows = phrase_rows()
     found = [tuple(r) for r in phrase_mining.collocations(table_of(spark, rows), least, covered, 40).collect()]
     want = sorted(brute_phrases(rows, least, covered, 40))
