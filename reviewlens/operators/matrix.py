@@ -56,12 +56,13 @@ def transpose_times(indices, values, starts, dense, into):
     into[ranked[first]] += np.add.reduceat(values[order][:, None] * dense[row[order]], first, axis=0)
 
 
-def fold(features: DataFrame, width: int, start: Callable, step: Callable) -> dict[str, np.ndarray]:
+def fold(features: DataFrame, width: int, start: Callable, step: Callable, marks: int | None = None) -> dict[str, np.ndarray]:
     """Sum ``step`` over all rows.
 
     ``start()`` gives a dict of zero matrices; ``step(totals, indices, values,
     starts)`` adds one chunk of rows to them.  Returns the totals of the whole
-    matrix.
+    matrix.  With ``marks``, the number of a column of integers, the step gets
+    the chunk's values of that column as well.
     """
 
     def run(batches):
@@ -70,8 +71,9 @@ def fold(features: DataFrame, width: int, start: Callable, step: Callable) -> di
 
         totals = start()
         for batch in batches:
-            for _, indices, values, starts in csr_chunks(batch, 0, width):
-                step(totals, indices, values, starts)
+            for piece, indices, values, starts in csr_chunks(batch, 0, width):
+                more = () if marks is None else (np.asarray(batch.column(marks))[piece],)
+                step(totals, indices, values, starts, *more)
         part = TaskContext.get().partitionId()
         names, blocks, data = [], [], []
         for name, matrix in totals.items():

@@ -15,6 +15,10 @@ from reviewlens.operators.matrix import fold, row_arrays, times, transpose_times
 from reviewlens.operators.topic_model import TopicModel
 
 
+#: Most passes of a fit, and the share by which squared singular values may still move at its end.
+ROUNDS, TOLERANCE = 20, 1e-7
+
+
 class LsaModel(TopicModel):
     method = "lsa"
 
@@ -70,13 +74,41 @@ class LsaModel(TopicModel):
         return fit_lsa(features, self.k, self.terms, column)
 
 
+class Subspace:
+    """A block of vectors on its way to the K leading right singular vectors."""
+
+    def __init__(self, width: int, k: int, seed: int, tolerance: float, extra: int = 10):
+        self.k, self.tolerance = min(k, width), tolerance
+        block = min(self.k + extra, width)
+        self.basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, block)))
+        self.leading, self.right, self.settled = None, None, False
+
+    def take(self, product: np.ndarray, last: bool = False) -> None:
+        """Use X'X times the basis; settled when no leading value moves any more, or at the last."""
+        small = self.basis.T @ product
+        values, vectors = np.linalg.eigh((small + small.T) / 2)
+        order = np.argsort(values)[::-1][: self.k]
+        before, self.leading = self.leading, values[order]
+        self.right = (self.basis @ vectors[:, order]).T
+        close = before is not None and np.allclose(self.leading, before, rtol=self.tolerance, atol=1e-12 * self.leading.max(initial=0.0))
+        self.settled = close or last
+        if not self.settled:
+            self.basis, _ = np.linalg.qr(product)
+
+    def model(self, terms: list[str]) -> LsaModel:
+        """The largest entry of each vector is made positive."""
+        peak = np.argmax(np.abs(self.right), axis=1)
+        signs = np.where(self.right[np.arange(len(self.right)), peak] < 0, -1.0, 1.0)
+        return LsaModel(self.right * signs[:, None], terms, np.sqrt(np.maximum(self.leading, 0)))
+
+
 def fit_lsa(
     features: DataFrame,
     k: int,
     terms: list[str],
     column: str = "features",
-    rounds: int = 20,
-    tolerance: float = 1e-7,
+    rounds: int = ROUNDS,
+    tolerance: float = TOLERANCE,
     extra: int = 10,
     seed: int = settings.SEED,
 ) -> LsaModel:
@@ -85,10 +117,7 @@ def fit_lsa(
     A round is one pass over the documents.  The rounds end when none of the K squared
     singular values moves by more than ``tolerance`` of itself, or after ``rounds``.
     """
-    width = len(terms)
-    k = min(k, width)
-    block = min(k + extra, width)
-    basis, _ = np.linalg.qr(np.random.default_rng(seed).standard_normal((width, block)))
+    space = Subspace(len(terms), k, seed, tolerance, extra)
     rows = features.select(column)
     context = features.sparkSession.sparkContext
 
@@ -102,19 +131,8 @@ def fit_lsa(
         shared.unpersist()
         return product
 
-    before = None
     for left in reversed(range(rounds)):
-        product = gram_times(basis)
-        small = basis.T @ product
-        values, vectors = np.linalg.eigh((small + small.T) / 2)
-        order = np.argsort(values)[::-1][:k]
-        leading = values[order]
-        settled = before is not None and np.allclose(leading, before, rtol=tolerance, atol=1e-12 * leading.max(initial=0.0))
-        if settled or not left:
+        space.take(gram_times(space.basis), last=not left)
+        if space.settled:
             break
-        before = leading
-        basis, _ = np.linalg.qr(product)
-    right = (basis @ vectors[:, order]).T
-    peak = np.argmax(np.abs(right), axis=1)
-    right *= np.where(right[np.arange(len(right)), peak] < 0, -1.0, 1.0)[:, None]
-    return LsaModel(right, terms, np.sqrt(np.maximum(values[order], 0)))
+    return space.model(terms)

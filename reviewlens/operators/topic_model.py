@@ -83,15 +83,17 @@ def stability(
     column: str = "features",
     runs: int = settings.STABILITY_RUNS,
     share: float = settings.STABILITY_SHARE,
+    again: list[TopicModel] | None = None,
 ) -> float:
-    """Mean best match between the model and refits on hash samples of the rows."""
+    """Mean best match between the model and refits on hash samples of the rows.
+
+    ``again`` holds the refits where they were made together with the model.
+    """
     from reviewlens.operators.sampling import share_sample
 
-    scores = []
-    for run in range(runs):
-        again = model.refit(share_sample(features, share, keys, seed=run), column)
-        scores.append(best_match_mean(model, again))
-    return float(np.mean(scores))
+    if again is None:
+        again = [model.refit(share_sample(features, share, keys, seed=run), column) for run in range(runs)]
+    return float(np.mean([best_match_mean(model, other) for other in again]))
 
 
 def first_max_topics(model: TopicModel, features: DataFrame, keys: list[str], column: str = "features") -> DataFrame:

@@ -12,6 +12,7 @@ from reviewlens.functions.text import study_sentences
 from reviewlens.operators import assignment, quality, reports, topic_words
 from reviewlens.operators.lda import fit_lda
 from reviewlens.operators.nmf import fit_nmf
+from reviewlens.operators.resamples import fit_lsa_resampled
 from reviewlens.operators.svd import fit_lsa
 from reviewlens.operators.topic_model import TopicModel, first_max_topics, stability
 from reviewlens.operators.vocabulary import FeatureSpace, study_vocabulary, tfidf_long
@@ -58,8 +59,10 @@ def study_input(tokens_df: DataFrame, keys: list[str], method: str, **limits) ->
     return StudyInput(method, keys, features, weights, space)
 
 
-def judge(data: StudyInput, model: TopicModel, stability_runs: int = settings.STABILITY_RUNS, gate: bool = True) -> dict:
-    """Size gate and metrics of one fitted model."""
+def judge(
+    data: StudyInput, model: TopicModel, stability_runs: int = settings.STABILITY_RUNS, gate: bool = True, again: list[TopicModel] | None = None
+) -> dict:
+    """Size gate and metrics of one fitted model; ``again`` holds its refits on samples, if they exist."""
     spark = data.features.sparkSession
     dominant = first_max_topics(model, data.features, data.keys)
     sizes = assignment.valid_topics(assignment.topic_sizes(dominant, model.k)).head()
@@ -74,7 +77,7 @@ def judge(data: StudyInput, model: TopicModel, stability_runs: int = settings.ST
     row["coherence"] = float(quality.cosine_coherence(data.weights, top, data.keys).agg(F.avg("coherence")).head()[0])
     row["diversity"] = float(quality.diversity(top).head()[0])
     row["performance"] = float(model.performance(data.features))
-    row["stability"] = stability(model, data.features, data.keys, runs=stability_runs) if stability_runs else 0.0
+    row["stability"] = stability(model, data.features, data.keys, runs=stability_runs, again=again) if stability_runs else 0.0
     top.unpersist()
     return row
 
@@ -96,17 +99,20 @@ def find_topic_count(
 ) -> StudyResult:
     """Fit every topic count, measure it, keep the best.
 
-    LSA is fitted once, with the largest count.  When no count passes the size gate, ``best`` is None and the metrics say why.
+    LSA is fitted once, with the largest count, together with its refits on samples of the
+    rows.  When no count passes the size gate, ``best`` is None and the metrics say why.
     """
     spark = data.features.sparkSession
     rows, models = [], {}
     counts, terms = list(counts), data.space.terms
-    # the components of an SVD are nested: one fit serves all counts
-    widest = fit_lsa(data.features, max(counts), terms, **fit_options) if data.method == "lsa" and counts else None
+    widest, resampled = None, []
+    if data.method == "lsa" and counts:
+        # the components of an SVD are nested: one fit serves all counts
+        widest, resampled = fit_lsa_resampled(data.features, max(counts), terms, data.keys, runs=stability_runs, **fit_options)
     for k in counts:
         model = widest.leading(k) if widest else FITTERS[data.method](data.features, k, terms, **fit_options)
         models[model.k] = model
-        rows.append(judge(data, model, stability_runs, gate))
+        rows.append(judge(data, model, stability_runs, gate, [other.leading(k) for other in resampled] if widest else None))
     metrics = metrics_frame(spark, rows)
     winner = quality.best_row(metrics.filter(F.col("reason").isNull())).head()
     if winner is None:

@@ -6,7 +6,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from reviewlens.functions import special
-from reviewlens.operators import embedding, lda, nmf, svd, topic_model
+from reviewlens.operators import embedding, lda, matrix as matrix_sums, nmf, resamples, sampling, svd, topic_model
 from reviewlens.plans import fixed_study, topic_study
 
 TERMS = [f"t{i:02d}" for i in range(30)]
@@ -153,6 +153,23 @@ def test_stability_and_dominant(features):
     assert best > 100
 
 
+def test_resamples_share_the_passes_of_the_model(features, monkeypatch):
+    passes = []
+    monkeypatch.setattr(resamples, "fold", lambda *a, **o: passes.append(1) or matrix_sums.fold(*a, **o))
+    model, again = resamples.fit_lsa_resampled(features, 3, TERMS, ["id"], runs=3)
+    together = len(passes)
+    assert np.allclose(model.components, svd.fit_lsa(features, 3, TERMS).components, atol=1e-6)
+    alone = []
+    monkeypatch.setattr(svd, "fold", lambda *a, **o: alone.append(1) or matrix_sums.fold(*a, **o))
+    for run, other in enumerate(again):
+        before = len(alone)
+        single = svd.fit_lsa(sampling.share_sample(features, 0.8, ["id"], seed=run), 3, TERMS)
+        assert np.allclose(other.components, single.components, atol=1e-6)
+        assert len(alone) - before <= together
+    # a study of four fits costs no more passes than two
+    assert together < len(alone) and together <= 2 * max(1, len(alone) // 3)
+
+
 def token_docs(spark):
     rng = np.random.default_rng(4)
     rows = [(i, [TERMS[(i % 3) * 10 + int(j)] for j in rng.integers(0, 10, 25)]) for i in range(90)]
