@@ -141,7 +141,7 @@ def join_rows(seed=5):
 @pytest.mark.parametrize("small", [False, True])
 def test_ngram_join(spark, monkeypatch, small):
     if small:  # divided columns, ties and several row blocks
-        for name, value in {"PAIRED": 3, "ROWS": 4, "FREQUENT_SETS": 4, "PARTS": 3, "LEAST": 8, "STRIDE": 2, "CELLS": 2000}.items():
+        for name, value in {"PAIRED": 3, "ROWS": 4, "FREQUENT_SETS": 4, "PARTS": 3, "LEAST": 8, "STRIDE": 2, "ENTRIES": 900, "CELLS": 2000}.items():
             monkeypatch.setattr(ngram_join, name, value)
     rows = join_rows()
     found = [tuple(r) for r in ngram_join.similar(table_of(spark, rows)).collect()]
@@ -176,9 +176,10 @@ def test_words_of_a_column(monkeypatch):
     assert len(set(by_word.values())) == len(by_word)
 
 
-def test_common_counts():
+def test_common_counts(monkeypatch):
+    monkeypatch.setattr(ngram_join, "ENTRIES", 300)
     make = np.random.default_rng(2)
-    sets = [np.unique(make.integers(0, 300, 150)).astype(np.uint64) for _ in range(9)]
+    sets = [np.unique(make.integers(0, 300, 150)).astype(np.uint64) << np.uint64(55) for _ in range(9)]
     found = ngram_join.common_counts(sets)
     assert all(found[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(9) for j in range(9))
 
