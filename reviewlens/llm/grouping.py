@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from typing import Iterator
+from typing import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens.llm.common import checkpointed
 
@@ -19,13 +19,14 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of the edges ``a, b``; the root is the component's least node.
 
     Alternating large-star and small-star rounds: each joins and aggregates the edges
-    on all executors; the lineage is cut after each round.
+    on all executors; the lineage is cut after each round.  Rows of a node are dealt by
+    a salt as well, in as many parts as the edges fill partitions: a hub is in no one task.
     """
     links = checkpointed(_oriented(edges.select("a", "b")))
     before = _fingerprint(links)
     while True:
-        # as many partitions as the edges need: small graphs leave few small files
-        links = checkpointed(_small_star(_large_star(links)).coalesce(1 + before[0] // ROWS_OF_PARTITION))
+        parts = 1 + before[0] // ROWS_OF_PARTITION
+        links = checkpointed(_small_star(_large_star(links, parts), parts))
         now = _fingerprint(links)
         if now == before:
             break
@@ -39,16 +40,25 @@ def _oriented(edges: DataFrame) -> DataFrame:
     return edges.where("a <> b").select(larger.alias("a"), smaller.alias("b")).distinct()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, parts: int) -> DataFrame:
+    """The links with ``low``, the least ``b`` of each ``a``; both sides of the join hold the salt."""
+    salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(parts)))
+    partial = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    # a window holds one row for each salt of a node: ``parts`` at most
+    least = partial.withColumn("low", F.min("low").over(Window.partitionBy("a")))
+    return salted.join(least, ["a", "salt"]).drop("salt")
+
+
+def _large_star(links: DataFrame, parts: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-    return both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    return _with_least(both, parts).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
-    least = links.groupBy("a").agg(F.min("b").alias("low"))
-    moved = links.join(least, "a").where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return moved.unionByName(least.select("a", F.col("low").alias("b"))).distinct()
+def _small_star(links: DataFrame, parts: int) -> DataFrame:
+    lowest = _with_least(links, parts)
+    moved = lowest.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    # as many partitions as the edges need: small graphs leave few small files
+    return moved.unionByName(lowest.select("a", F.col("low").alias("b"))).repartition(parts, "a", "b").distinct()
 
 
 def _fingerprint(links: DataFrame) -> tuple:
@@ -107,3 +117,23 @@ def spanning(linked: np.ndarray) -> np.ndarray:
         if (reach == label).all():
             return label
         label = reach
+
+
+def forest(n: int, linked: Callable[[int, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The first member of each member's component, for links that are asked as they are needed.
+
+    ``linked(i, others)`` tells which others are linked with ``i``.  Each member asks
+    once, and only about members that no link has reached: a component whose first
+    member is linked with all of it takes one question.
+    """
+    label = np.arange(n)
+    unreached = np.arange(n)
+    while len(unreached) > 1:
+        first, unreached = unreached[0], unreached[1:]
+        waiting = [first]
+        while waiting and len(unreached):
+            hit = linked(waiting.pop(), unreached)
+            label[unreached[hit]] = first
+            waiting.extend(unreached[hit])
+            unreached = unreached[~hit]
+    return label

@@ -32,10 +32,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from reviewlens.llm.common import checkpointed, mix64, space_words
-from reviewlens.llm.grouping import components, in_units, spanning, units
+from reviewlens.llm.grouping import components, forest, in_units, units
 
 #: Registers, and rows of a band; the registers beyond whole bands help the estimate.
 REGISTERS, BAND = 128, 5
@@ -136,6 +136,26 @@ def estimate(greater: np.ndarray, less: np.ndarray, equal: np.ndarray, size: np.
     return (low + high) / 2
 
 
+def reaches(
+    greater: np.ndarray, less: np.ndarray, equal: np.ndarray, size: np.ndarray, other: np.ndarray, least: float
+) -> np.ndarray:
+    """Whether ``estimate`` is ``least`` or more: the likelihood, of one peak, doesn't fall there yet."""
+    u = size / (size + other)
+    v = 1 - u
+    share, log_base = (BASE - 1) / BASE, math.log(BASE)
+
+    def differ(x):
+        x = np.clip(x, 0, 1)
+        return np.maximum(-np.log1p(-x * share) / log_base, 1e-12), share / ((1 - x * share) * log_base)
+
+    (more, more_step), (fewer, fewer_step) = differ(u - v * least), differ(v - u * least)
+    slope = (
+        equal * (v * more_step + u * fewer_step) / np.maximum(1 - more - fewer, 1e-12)
+        - greater * v * more_step / more - less * u * fewer_step / fewer
+    )
+    return (least <= 0) | ((least <= np.minimum(u / v, v / u)) & (slope >= 0))
+
+
 def _sketched(documents: DataFrame, width: int) -> DataFrame:
     """One row for each document: ``doc_id, row_hash, n_shingles, node, registers``."""
 
@@ -155,9 +175,9 @@ def _sketched(documents: DataFrame, width: int) -> DataFrame:
     return _keyed(documents).mapInArrow(run, "doc_id long, row_hash long, n_shingles long, node binary, registers binary")
 
 
-def _keyed(documents: DataFrame) -> DataFrame:
+def _keyed(documents: DataFrame, *more: Column) -> DataFrame:
     doc_id, text = F.col("doc_id").cast("long"), F.col("text").cast("string")
-    return documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"), text.alias("text"))
+    return documents.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, text).alias("row_hash"), text.alias("text"), *more)
 
 
 def _band_keys(batches):
@@ -174,52 +194,67 @@ def _band_keys(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["node", "keys"])
 
 
+def _edges(nodes: list[bytes], label: np.ndarray) -> pa.RecordBatch:
+    """Each member of a forest with the first member of its tree."""
+    own = np.flatnonzero(label != np.arange(len(nodes)))
+    ends = [pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[label[i]] for i in own], pa.binary())]
+    return pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+
 def _likely_edges(least: float):
     """In each bucket, a spanning forest of the pairs whose estimate reaches ``least``."""
+    agreeing = REGISTERS * max(0.0, least - MARGIN)
 
     def run(batches):
         for rows in units(batches, 3):
             nodes = rows.column("node").to_pylist()
             registers = np.frombuffer(b"".join(rows.column("registers").to_pylist()), np.uint16).reshape(-1, REGISTERS)
             size = rows.column("n_shingles").to_numpy().astype(np.float64)
-            n = len(nodes)
-            likely = np.zeros((n, n), bool)
-            for i in range(n - 1):
-                mine, rest = registers[i], registers[i + 1 :]
+
+            def likely(i, others):
+                mine, rest = registers[i], registers[others]
                 equal = (rest == mine).sum(axis=1)
-                near = np.flatnonzero(equal >= REGISTERS * max(0.0, least - MARGIN))
+                found = equal >= agreeing
+                near = np.flatnonzero(found)
                 if len(near):
                     greater = (mine > rest[near]).sum(axis=1)
-                    j = estimate(greater, REGISTERS - greater - equal[near], equal[near], np.full(len(near), size[i]), size[i + 1 + near])
-                    likely[i, i + 1 + near[j >= least]] = True
-            label = spanning(likely | likely.T)
-            own = np.flatnonzero(label != np.arange(n))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[label[i]] for i in own], pa.binary())], ["a", "b"]
-            )
+                    less = REGISTERS - greater - equal[near]
+                    found[near] = reaches(greater, less, equal[near], np.full(len(near), size[i]), size[others[near]], least)
+                return found
+
+            yield _edges(nodes, forest(len(nodes), likely))
 
     return run
 
 
 def linked_on_sets(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Which pairs have 100 * intersection >= percent * union, from exact counts."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.float64)
-    owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+    """Labels of the components by 100 * intersection >= percent * union, from exact counts.
+
+    A set is counted against those sets alone that no link has reached yet.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
     every, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = times > 1  # a shingle of one set alone is in no intersection
     place = np.cumsum(shared) - 1
-    here = shared[column]
-    owner, column = owner[here], place[column[here]]
-    common = np.zeros((n, n))
-    width = max(1024, 16_000_000 // n)
-    for low in range(0, int(shared.sum()), width):
-        part = (column >= low) & (column < low + width)
-        flags = np.zeros((n, width), np.float32)
-        flags[owner[part], column[part] - low] = 1
-        common += flags @ flags.T
-    union = sizes[:, None] + sizes[None, :] - common
-    return 100 * common >= percent * union
+    ends = np.cumsum(sizes)
+    columns = []
+    for low, high in zip(ends - sizes, ends):
+        mine = column[low:high]
+        columns.append(place[mine[shared[mine]]])
+    held = np.zeros(int(shared.sum()), bool)
+
+    def linked(i, others):
+        possible = 100 * np.minimum(sizes[i], sizes[others]) >= percent * np.maximum(sizes[i], sizes[others])
+        asked = others[possible]
+        found = np.zeros(len(others), bool)
+        if len(asked):
+            held[columns[i]] = True
+            common = np.array([np.count_nonzero(held[columns[j]]) for j in asked])
+            held[columns[i]] = False
+            found[possible] = 100 * common >= percent * (sizes[i] + sizes[asked] - common)
+        return found
+
+    return forest(len(sets), linked)
 
 
 def _confirmed_edges(width: int, percent: int):
@@ -230,11 +265,7 @@ def _confirmed_edges(width: int, percent: int):
             texts = dict(zip(rows.column("node").to_pylist(), rows.column("text").to_pylist()))
             nodes = sorted(texts)
             if len(nodes) > 1:
-                label = spanning(linked_on_sets([shingle_set(texts[x], width) for x in nodes], percent))
-                own = np.flatnonzero(label != np.arange(len(nodes)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([nodes[i] for i in own], pa.binary()), pa.array([nodes[label[i]] for i in own], pa.binary())], ["a", "b"]
-                )
+                yield _edges(nodes, linked_on_sets([shingle_set(texts[x], width) for x in nodes], percent))
 
     return run
 
@@ -290,7 +321,8 @@ def first_of_groups(documents: DataFrame, width: int = 5, percent: int = 80) ->
     """
     labelled = _labelled(documents, width, percent)
     stays = F.col("node").isNull() | (F.col("row_hash") == F.col("least.row_hash"))
-    kept = labelled.where(stays).select(F.col("row_hash").alias("_row"), F.col("doc_id").alias("_id")).distinct()
-    row = F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    joined = documents.withColumn("_row", row).join(kept, "_row").where(F.col("_id").eqNullSafe(F.col("doc_id").cast("long")))
-    return joined.dropDuplicates(["_row", "_id"]).select(*documents.columns)
+    kept = labelled.where(stays).select("row_hash", F.col("doc_id").alias("kept_id")).distinct()
+    # one struct holds the document, so that no name of its columns meets one of ours
+    rows = _keyed(documents, F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("document"))
+    joined = rows.drop("text").join(kept, "row_hash").where(F.col("kept_id").eqNullSafe(F.col("doc_id")))
+    return joined.dropDuplicates(["row_hash", "kept_id"]).select("document.*")

@@ -95,6 +95,58 @@ def test_sketches_merge_and_estimate():
     assert abs(found[0] - 0.8) < 0.15
 
 
+def test_slope_decides_as_the_estimate_does():
+    make = np.random.default_rng(3)
+    size = make.integers(5, 3000, 5000).astype(float)
+    other = np.maximum(1, np.round(size * make.uniform(0.4, 2.5, 5000)))
+    equal = make.integers(0, 129, 5000)
+    greater = make.integers(0, 129 - equal)
+    counts = (greater, 128 - greater - equal, equal, size, other)
+    estimate = near_duplicates.estimate(*counts)
+    for least in (0.0, 0.4, 0.6):
+        clear = np.abs(estimate - least) > 1e-4
+        assert ((estimate >= least) == near_duplicates.reaches(*counts, least))[clear].all()
+
+
+def test_forest_equals_union_find():
+    make = np.random.default_rng(4)
+    for density in (0.01, 0.05, 0.5):
+        links = np.triu(make.random((60, 60)) < density, 1)
+        links |= links.T
+        union = Union()
+        for a, b in np.argwhere(links):
+            union.join(int(a), int(b))
+        asked = []
+        label = grouping.forest(60, lambda i, others: asked.append(i) or links[i][others])
+        assert label.tolist() == [union.find(i) for i in range(60)]
+        assert len(asked) == len(set(asked))
+
+
+def test_hub_is_dealt_by_salts(spark, monkeypatch):
+    monkeypatch.setattr(grouping, "ROWS_OF_PARTITION", 20)
+    edges = [(0, i) for i in range(1, 200)] + [(i, i + 1) for i in range(300, 330)]
+    union = Union()
+    for a, b in edges:
+        union.join(a, b)
+    found = {r["node"]: r["root"] for r in grouping.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert found == {x: union.find(x) for edge in edges for x in edge}
+
+
+def test_names_of_other_columns_never_clash(spark):
+    names = ["_row", "_id", "_removed", "removed", "document", "row_hash", "node", "kept_id", "kept_text"]
+    schema = "doc_id long, text string, " + ", ".join(f"{name} string" for name in names)
+    line = "the very same line of words stands here"
+    own = ["apples ripen late in the north", "seven ships left harbour at dawn", "nobody reads the old ledgers"]
+    rows = [(i, f"{line}\n{text}", *names) for i, text in enumerate(own)] + [(3, f"{line}\n\t", *names)]
+    docs = spark.createDataFrame(rows, schema)
+    for kept in (line_dedup.deduplicate(docs), near_duplicates.first_of_groups(docs)):
+        assert kept.columns == docs.columns
+        assert all(list(r)[2:] == names for r in kept.collect())
+    texts = {r["doc_id"]: r["text"] for r in line_dedup.deduplicate(docs).collect()}
+    assert line in texts[0] and line not in texts[1] and 3 not in texts
+    assert line_dedup.report(docs).count() == 4
+
+
 def test_components(spark):
     make = random.Random(5)
     edges = [(make.randrange(300), make.randrange(300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 450)]
