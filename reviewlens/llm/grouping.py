@@ -21,6 +21,7 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star rounds: each joins and aggregates the edges
     on all executors; the lineage is cut after each round.  Rows of a node are dealt by
     a salt as well, in as many parts as the edges fill partitions: a hub is in no one task.
+    The steps have that many tasks too, so that small graphs leave few small files.
     """
     links = checkpointed(_oriented(edges.select("a", "b")))
     before = _fingerprint(links)
@@ -43,22 +44,21 @@ def _oriented(edges: DataFrame) -> DataFrame:
 def _with_least(links: DataFrame, parts: int) -> DataFrame:
     """The links with ``low``, the least ``b`` of each ``a``; both sides of the join hold the salt."""
     salted = links.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(parts)))
-    partial = salted.groupBy("a", "salt").agg(F.min("b").alias("low"))
+    partial = salted.groupBy("a", "salt").agg(F.min("b").alias("low")).coalesce(parts)
     # a window holds one row for each salt of a node: ``parts`` at most
-    least = partial.withColumn("low", F.min("low").over(Window.partitionBy("a")))
-    return salted.join(least, ["a", "salt"]).drop("salt")
+    least = partial.withColumn("low", F.min("low").over(Window.partitionBy("a"))).coalesce(parts)
+    return salted.join(least, ["a", "salt"]).drop("salt").coalesce(parts)
 
 
 def _large_star(links: DataFrame, parts: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    return _with_least(both, parts).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")).distinct()
+    return _with_least(both, parts).where("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b"))
 
 
 def _small_star(links: DataFrame, parts: int) -> DataFrame:
     lowest = _with_least(links, parts)
     moved = lowest.where("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    # as many partitions as the edges need: small graphs leave few small files
-    return moved.unionByName(lowest.select("a", F.col("low").alias("b"))).repartition(parts, "a", "b").distinct()
+    return moved.unionByName(lowest.select("a", F.col("low").alias("b"))).distinct().coalesce(parts)
 
 
 def _fingerprint(links: DataFrame) -> tuple:
