@@ -7,7 +7,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from reviewlens import settings
 from reviewlens.functions.formatting import is_negative, is_positive
 from reviewlens.operators.ranks import running_total
-from reviewlens.scale import join_lookup
+from reviewlens.scale import cut_lineage, join_lookup
+
+QUARTILES = (("p25", 0.25), ("p50", 0.5), ("p75", 0.75))
+#: Share of the rows on either side of a quartile's bracket, and the accuracy of the sketch.
+BRACKET, SKETCH_ACCURACY = 0.001, 10_000
 
 
 def dataset_stats(df: DataFrame, game: str = "app_id", score: str = "review_score", digits: int | None = 2) -> DataFrame:
@@ -70,8 +74,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Count, mean, std, min, exact quartiles and max of every numeric column.
 
-    Equal values are counted first, then ranked with one distributed running
-    total, so the quartiles are exact without gathering a column anywhere.
+    A mergeable sketch gives a bracket around each quartile.  A second pass counts what
+    lies below each bracket and the copies of the few values inside it; exact ranks are
+    then taken inside the brackets alone.  A bracket that misses its ranks is widened to
+    the whole column, so that the quartiles are exact for any data.
     """
     columns = numeric_columns(df) if columns is None else columns
     long = (
@@ -79,32 +85,53 @@ def numeric_profile(df: DataFrame, columns: list[str] | None = None) -> DataFram
         .unpivot([], [F.col(c) for c in columns], "column", "v")
         .filter(F.col("v").isNotNull() & ~F.isnan("v"))
     )
-    stats = long.groupBy("column").agg(
+    edges = [max(0.0, q - BRACKET) for _, q in QUARTILES] + [q + BRACKET for _, q in QUARTILES]
+    stats = cut_lineage(long.groupBy("column").agg(
         F.count("v").alias("count"),
         F.avg("v").alias("mean"),
         F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-    )
-    ranked = running_total(long.groupBy("column", "v").agg(F.count(F.lit(1)).alias("copies")), ["column", "v"], "copies")
-    # Rank inside the column: subtract the rows of the columns sorted before it
-    # (one row per column).
-    earlier = Window.orderBy("column").rowsBetween(Window.unboundedPreceding, -1)
-    bounds = stats.select("column", "count", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
-    placed = ranked.join(F.broadcast(bounds), "column").withColumn("last", F.col("total") - F.col("start") - 1).withColumn(
-        "first", F.col("last") - F.col("copies") + 1
-    )
-    picks = []
-    for name, q in (("p25", 0.25), ("p50", 0.5), ("p75", 0.75)):
-        at = F.lit(q) * (F.col("count") - 1)
-        low = F.max(F.when(_covers(F.floor(at)), F.col("v")))
-        high = F.max(F.when(_covers(F.ceil(at)), F.col("v")))
-        part = F.max(at - F.floor(at))
-        picks.append((low + (high - low) * part).alias(name))
-    quartiles = placed.groupBy("column").agg(*picks)
+        F.percentile_approx("v", edges, SKETCH_ACCURACY).alias("edges"),
+    ))
+    part = len(QUARTILES)
+    brackets = stats.select("column", "count", F.posexplode(F.array(*[
+        F.struct(
+            F.lit(name).alias("name"), (F.lit(q) * (F.col("count") - 1)).alias("at"),
+            F.col("edges")[i].alias("low"), F.col("edges")[part + i].alias("high"),
+        ) for i, (name, q) in enumerate(QUARTILES)
+    ]))).select("column", "count", F.col("col.*"))
+    found = cut_lineage(_picked(long, brackets))
+    missed = brackets.join(found.filter(F.col("value").isNull()).select("column", "name"), ["column", "name"], "left_semi")
+    if not missed.isEmpty():
+        whole = missed.withColumns({"low": F.lit(float("-inf")), "high": F.lit(float("inf"))})
+        found = found.filter(F.col("value").isNotNull()).unionByName(_picked(long, whole))
+    quartiles = found.groupBy("column").pivot("name", [name for name, _ in QUARTILES]).agg(F.first("value"))
     return stats.join(quartiles, "column").select("column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
+def _picked(long: DataFrame, brackets: DataFrame) -> DataFrame:
+    """``column, name, value``: the value at rank ``at``, null where the bracket doesn't hold it.
+
+    Values below a bracket are counted at null, which sorts first.
+    """
+    # three rows for each column of the profile
+    placed = long.join(F.broadcast(brackets), "column").filter(F.col("v") <= F.col("high"))
+    inside = F.when(F.col("v") >= F.col("low"), F.col("v"))
+    copies = placed.groupBy("column", "name", "at", inside.alias("v")).agg(F.count(F.lit(1)).alias("copies"))
+    ranked = running_total(copies, ["column", "name", "v"], "copies")
+    # ranks inside a bracket: the rows of the brackets sorted before it are taken off
+    sizes = copies.groupBy("column", "name").agg(F.sum("copies").alias("n"))
+    earlier = Window.orderBy("column", "name").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("column", "name", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("start"))
+    last = F.col("total") - F.col("start") - 1
+    ranks = ranked.join(F.broadcast(starts), ["column", "name"]).withColumns({"last": last, "first": last - F.col("copies") + 1})
+    low = F.max(F.when(_covers(F.floor("at")), F.col("v")))
+    high = F.max(F.when(_covers(F.ceil("at")), F.col("v")))
+    share = F.max(F.col("at") - F.floor("at"))
+    return ranks.groupBy("column", "name").agg((low + (high - low) * share).alias("value"))
+
+
 def _covers(rank: Column) -> Column:
     return (F.col("first") <= rank) & (rank <= F.col("last"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from reviewlens.functions.formatting import run_stamp
-from reviewlens.scale import join_lookup
+from reviewlens.scale import cut_lineage, join_lookup
 from reviewlens.sources import schemas
 
 REQUEST = ["appid", "review_type"]
@@ -76,6 +76,46 @@ def feed_reviews(pages: DataFrame, cap: int | None = None, stamp: str | None = N
     return with_fetch_columns(kept, stamp=stamp).drop("page_no", "pos")
 
 
+def newest_reviews(rows: DataFrame) -> DataFrame:
+    """One row of each review id within a game and type, that of the newest fetch.
+
+    Rows without an id stay, once for each content: a repeated run adds none.
+    """
+    fetched = F.struct(F.coalesce(F.col("fetch_date").cast("string"), F.lit("")), F.xxhash64(*rows.columns))
+    known = rows.filter(F.col("recommendationid").isNotNull())
+    best = known.groupBy(*REQUEST, "recommendationid").agg(F.max_by(F.struct(*rows.columns), fetched).alias("r"))
+    unknown = rows.filter(F.col("recommendationid").isNull())
+    content = [c for c in rows.columns if c not in ("fetch_date", "total_reviews")]
+    return best.select("r.*").unionByName(unknown.dropDuplicates(content))
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The review table at ``path`` with its partitions, or nothing where none was written yet."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    return spark.read.option("mergeSchema", "true").parquet(path)
+
+
 def write_reviews(rows: DataFrame, path: str) -> None:
-    """Append by game and type; crowded games are split over several files."""
-    rows.hint("rebalance", *REQUEST).write.mode("append").partitionBy(*REQUEST).parquet(path)
+    """Merge by review id into the table of games and types.
+
+    Only partitions that receive rows are read and replaced, so that a repeated run
+    leaves the table as it is.  Crowded games are split over several files.
+    """
+    spark = rows.sparkSession
+    rows = cut_lineage(rows)
+    stored = _stored(spark, path)
+    merged = rows
+    if stored is not None:
+        kinds = {f.name: f.dataType for f in rows.schema.fields}
+        stored = stored.withColumns({c: F.col(c).cast(kinds[c]) for c in REQUEST})
+        touched = rows.select(*REQUEST).distinct()
+        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in REQUEST]
+        old = stored.alias("old").join(touched.alias("new"), same[0] & same[1], "left_semi")
+        merged = rows.unionByName(old, allowMissingColumns=True)
+    # written apart first: the partitions that are replaced are those just read
+    merged = cut_lineage(newest_reviews(merged))
+    merged.hint("rebalance", *REQUEST).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        *REQUEST
+    ).parquet(path)

@@ -6,35 +6,37 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from reviewlens.functions.formatting import run_stamp
 from reviewlens.sources import schemas
-from reviewlens.sources.feed import REQUEST, flatten_pages
+from reviewlens.sources.feed import flatten_pages, write_reviews
 
 
-def page_stream(spark: SparkSession, landing: str, files_per_trigger: int = 1000) -> DataFrame:
-    """Landed pages with the time their file arrived."""
-    pages = spark.readStream.schema(schemas.FEED_PAGE).option("maxFilesPerTrigger", files_per_trigger).json(landing)
-    return pages.withColumn("arrived", F.col("_metadata.file_modification_time"))
+def page_stream(
+    spark: SparkSession, landing: str, files_per_trigger: int = 1000, max_file_age: str = "36500d"
+) -> DataFrame:
+    """Landed pages.
 
+    A file counts as new whatever its modification time, as files restored from a copy
+    have old ones: the source would pass over those older than ``max_file_age``, seen
+    from the newest file.
+    """
+    reader = spark.readStream.schema(schemas.FEED_PAGE)
+    return reader.option("maxFilesPerTrigger", files_per_trigger).option("maxFileAge", max_file_age).json(landing)
+
+
+def page_reviews(pages: DataFrame) -> DataFrame:
+    """Reviews of successful pages."""
+    rows = flatten_pages(pages.filter(F.coalesce("success", F.lit(0)) != 0)).drop("page_no", "pos")
+    return rows.withColumn("ts", F.timestamp_seconds("timestamp_created"))
 
-def new_reviews(pages: DataFrame, delay: str = "7 days") -> DataFrame:
-    """Reviews of successful pages, each id once.
 
-    The watermark follows the arrival of the pages, not the age of the reviews, so a
-    late page with old reviews loses none.  State is kept per review id and dropped
-    once the watermark has passed its arrival.
+def start_ingest(spark: SparkSession, landing: str, target: str, checkpoint: str, once: bool = True):
+    """Merge new reviews by id into the table of games and types; ``once`` drains what has landed.
+
+    Each batch replaces the partitions it touches, so a batch that is repeated after a
+    failure changes nothing, and no state is kept beyond the table.
     """
-    rows = flatten_pages(pages.filter(F.coalesce("success", F.lit(0)) != 0), ("arrived",)).drop("page_no", "pos")
-    timed = rows.withColumn("ts", F.timestamp_seconds("timestamp_created"))
-    once = timed.withWatermark("arrived", delay).dropDuplicatesWithinWatermark(["recommendationid"])
-    return once.drop("arrived")
-
-
-def start_ingest(
-    spark: SparkSession, landing: str, target: str, checkpoint: str, delay: str = "7 days", once: bool = True
-):
-    """Append new reviews by game and type; ``once`` drains what has landed."""
-    rows = new_reviews(page_stream(spark, landing), delay).withColumn("fetch_date", run_stamp())
-    writer = (
-        rows.writeStream.format("parquet").outputMode("append").partitionBy(*REQUEST)
-        .option("path", target).option("checkpointLocation", checkpoint)
-    )
+
+    def merge(batch: DataFrame, _: int) -> None:
+        write_reviews(batch.withColumn("fetch_date", run_stamp()), target)
+
+    writer = page_reviews(page_stream(spark, landing)).writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

@@ -1,3 +1,5 @@
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from reviewlens import scale
@@ -47,6 +49,16 @@ def test_numeric_profile_equals_pandas(spark):
             assert abs(row[ours] - column[theirs]) < 1e-9, (row["column"], ours)
 
 
+@pytest.mark.parametrize("values", [[7.0], [1.0, 2.0], [3.0, 1.0, 2.0], [5.0] * 50 + [float(i) for i in range(9)]])
+def test_quartiles_of_few_rows_and_of_ties(spark, values):
+    df = spark.createDataFrame([(v, float(-i)) for i, v in enumerate(values)] + [(None, None)], "a double, b double")
+    rows = {r["column"]: r for r in profile.numeric_profile(df).collect()}
+    for name, held in (("a", values), ("b", [-i for i in range(len(values))])):
+        want = np.percentile(held, [25, 50, 75])
+        assert np.allclose([rows[name][q] for q in ("p25", "p50", "p75")], want)
+    assert profile.numeric_profile(df.limit(0)).count() == 0
+
+
 def test_empty_statistics(spark):
     empty = spark.createDataFrame([], "app_id string, review_score int")
     row = profile.dataset_stats(empty).head()

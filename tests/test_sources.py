@@ -1,5 +1,6 @@
 import csv
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -38,7 +39,7 @@ def test_catalogue_and_topic_words(spark, tmp_path):
 
 def page(appid, kind, no, ids, success=1, cursor="next"):
     items = [
-        {"recommendationid": i, "review": f"r{i}", "timestamp_created": 1700000000 + i, "author": {"steamid": i * 10, "num_reviews": 2}}
+        {"recommendationid": i, "review": f"r{i}", "timestamp_created": 1700000000 + (i or 0), "author": {"steamid": (i or 0) * 10, "num_reviews": 2}}
         for i in ids
     ]
     return {"appid": appid, "review_type": kind, "page_no": no, "success": success, "cursor": cursor, "reviews": items}
@@ -86,6 +87,34 @@ def test_stream_keeps_late_reviews(spark, tmp_path):
     assert sorted(r["recommendationid"] for r in got.collect()) == [3 - month, 4 - month, 1, 2]
 
 
+def test_repeated_ingest_leaves_the_table_as_it_is(spark, tmp_path):
+    landing, target = str(tmp_path / "landing"), str(tmp_path / "reviews")
+    land(tmp_path / "landing", [page(1, "positive", 0, [1, 2, None]), page(2, "negative", 0, [4])], "first")
+    ids = []
+    for _ in range(2):
+        ingest.ingest_feed(spark, landing, target)
+        rows = spark.read.parquet(target).select("appid", "recommendationid").collect()
+        ids.append(sorted(((r[0], r[1]) for r in rows), key=str))
+    assert ids[0] == ids[1] == sorted([(1, 1), (1, 2), (1, None), (2, 4)], key=str)
+    newer = spark.read.parquet(target).filter("recommendationid = 2").withColumns(
+        {"fetch_date": F.lit("9999"), "review": F.lit("edited")}
+    )
+    feed.write_reviews(newer, target)
+    rows = {r["recommendationid"]: r for r in spark.read.parquet(target).collect()}
+    assert len(rows) == 4 and rows[2]["review"] == "edited" and rows[1]["review"] != "edited" and 4 in rows
+
+
+def test_stream_keeps_files_of_an_old_modification_time(spark, tmp_path):
+    args = [str(tmp_path / n) for n in ("landing", "out", "ckpt")]
+    land(tmp_path / "landing", [page(1, "positive", 0, [1, 2])], "first")
+    start_ingest(spark, *args).awaitTermination()
+    land(tmp_path / "landing", [page(1, "positive", 1, [3, None])], "restored")
+    os.utime(tmp_path / "landing" / "restored.json", (1_000_000_000, 1_000_000_000))
+    start_ingest(spark, *args).awaitTermination()
+    got = [r["recommendationid"] for r in spark.read.parquet(args[1]).collect()]
+    assert sorted(got, key=str) == [1, 2, 3, None]
+
+
 def test_stream_equals_batch(spark, tmp_path):
     args = [str(tmp_path / n) for n in ("landing", "out", "ckpt")]
     land(tmp_path / "landing", [page(1, "positive", 0, [1, 2, 3]), page(2, "negative", 0, [4])], "first")
