@@ -8,7 +8,7 @@ from reviewlens import settings
 from reviewlens.catalog import sql_text
 from reviewlens.catalog.registry import query, sql_list, texts
 from reviewlens.functions import markup, text
-from reviewlens.operators import class_tfidf, topic_words
+from reviewlens.operators import class_tfidf, lemmas, topic_words
 
 # The test texts hold no markup, so the query wraps every whole text in it.
 MARKED_PARTS = (
@@ -181,6 +181,32 @@ def lemmatize(spark, sf):
     return words.distinct().select("word", text.lemma(F.col("word")).alias("lemma"))
 
 
+ATTESTED_SQL = f"""
+WITH w AS (SELECT doc_id, unnest({sql_text.words(sql_text.unicode_norm('text'))}) AS word FROM documents),
+counts AS (SELECT word, count(*) AS n FROM w GROUP BY word),
+rules AS (SELECT * FROM (VALUES {", ".join(f"({i}, '{e}', '{r}')" for i, (e, r) in enumerate(lemmas.ATTESTED_ENDINGS))}) t(rank, ending, repl)),
+forms AS (SELECT c.word, c.n, r.rank, left(c.word, length(c.word) - length(r.ending)) || r.repl AS form
+          FROM counts c JOIN rules r ON ends_with(c.word, r.ending) WHERE NOT (r.ending = 's' AND ends_with(c.word, 'ss'))),
+chosen AS (SELECT f.word, arg_min(f.form, f.rank) AS form FROM forms f JOIN counts k ON k.word = f.form
+           WHERE length(f.form) >= {lemmas.SHORTEST_FORM} AND k.n * {lemmas.RARER} >= f.n GROUP BY f.word)"""
+
+
+@query(f"""{ATTESTED_SQL}
+SELECT counts.word, coalesce(form, counts.word) AS lemma FROM counts LEFT JOIN chosen ON counts.word = chosen.word""")
+def attested_lemmas(spark, sf):
+    words = texts(spark, sf).select(F.explode(text.words(text.normalize_unicode(F.col("text")))).alias("word"))
+    return lemmas.attested_lemmas(words)
+
+
+@query(f"""{ATTESTED_SQL}
+SELECT doc_id, coalesce(form, w.word) AS lemma, count(*) AS n FROM w LEFT JOIN chosen ON w.word = chosen.word
+GROUP BY doc_id, coalesce(form, w.word)""")
+def attested_lemma_counts(spark, sf):
+    tokenised = texts(spark, sf).select("doc_id", text.words(text.normalize_unicode(F.col("text"))).alias("tokens"))
+    found = lemmas.with_attested_lemmas(tokenised, ["doc_id"])
+    return found.select("doc_id", F.explode("tokens").alias("lemma")).groupBy("doc_id", "lemma").agg(F.count("*").alias("n"))
+
+
 @query(f"""
 WITH w AS (SELECT doc_id, unnest({sql_text.words(sql_text.unicode_norm('text'))}) AS word FROM documents),
 known AS (SELECT DISTINCT unnest({sql_text.words(sql_text.unicode_norm('text'))}) AS word FROM benchmark)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewlens import settings
 from reviewlens.functions import markup, text
+from reviewlens.operators import lemmas
 
 CASES = {
     "[h1]Great Game![/h1] [b]Highly recommended![/b]": "Great Game! Highly recommended!",
@@ -85,3 +86,19 @@ def test_lemma_endings(spark):
     words = {"cities": "city", "churches": "church", "wolves": "wolf", "boxes": "box", "women": "woman", "boss": "boss", "graphics": "graphic", "run": "run"}
     for word, want in words.items():
         assert one(spark, text.lemma(F.col("t")), word) == want
+
+
+def test_attested_lemmas(spark):
+    plural = {
+        "movies": "movie", "series": "series", "zombies": "zombie", "waves": "wave", "moves": "move", "lives": "life",
+        "uses": "use", "houses": "house", "always": "always", "focus": "focus", "cities": "city", "boxes": "box",
+        "wolves": "wolf", "women": "woman", "boss": "boss", "bosses": "boss", "gas": "gas", "leaves": "leaf", "saves": "save",
+    }
+    singular = [*plural.values(), "live", "us", "ga", "leave", "safe", "bus"]
+    rows = [(1, list(plural)), (2, singular), (3, ["always"] * 300 + ["alway"]), (4, None)]
+    docs = spark.createDataFrame(rows, "id int, tokens array<string>")
+    table = {r["word"]: r["lemma"] for r in lemmas.attested_lemmas(docs.select(F.explode("tokens").alias("word"))).collect()}
+    assert {w: table[w] for w in plural} == plural
+    assert all(table[w] == w for w in singular)
+    found = {r["id"]: r["tokens"] for r in lemmas.with_attested_lemmas(docs, ["id"]).collect()}
+    assert found[1] == list(plural.values()) and found[3] == rows[2][1] and 4 not in found
