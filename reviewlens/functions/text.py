@@ -119,14 +119,14 @@ def review_sentences(df: DataFrame, text: str, keys: list[str], markup: bool = T
     return explode_sentences(kept, "_text", keys)
 
 
-def study_sentences(df: DataFrame, text: str, keys: list[str], stop_words=None) -> DataFrame:
+def study_sentences(df: DataFrame, text: str, keys: list[str], stop_words=None, lemmatize: bool = True) -> DataFrame:
     """Sentence documents of the sentence study: lower-cased, normalised tokens.
 
     Sentences without any token left are dropped.
     """
     stop_words = settings.STUDY_STOP_WORDS if stop_words is None else stop_words
     sentences = explode_sentences(df.dropna(subset=[text]), text, keys, lower=True)
-    words_kept = tokens(normalize_unicode(F.col("sentence")), stop_words)
+    words_kept = tokens(normalize_unicode(F.col("sentence")), stop_words, lemmatize)
     tokenised = evaluated_once(sentences, [*keys, "sent_pos"], words_kept, "tokens")
     return tokenised.filter(F.size("tokens") > 0).withColumn("processed", F.array_join("tokens", " "))
 

@@ -11,6 +11,7 @@ from reviewlens import settings
 from reviewlens.functions.text import study_sentences
 from reviewlens.operators import assignment, quality, reports, topic_words
 from reviewlens.operators.lda import fit_lda
+from reviewlens.operators.lemmas import with_attested_lemmas
 from reviewlens.operators.nmf import fit_nmf
 from reviewlens.operators.resamples import fit_lsa_resampled
 from reviewlens.operators.svd import fit_lsa
@@ -132,11 +133,18 @@ def run_study(
     base: str,
     methods: Iterable[str] = ("lsa", "lda", "nmf"),
     counts: Iterable[int] = settings.SWEEP_TOPICS,
+    attested: bool = False,
     **options,
 ) -> dict[str, StudyResult]:
-    """Study of all methods; writes a report and a document map per method."""
-    documents = study_sentences(reviews, text, keys).persist()
+    """Study of all methods; writes a report and a document map per method.
+
+    ``attested`` takes lemmas that the reviews attest instead of those by endings alone.
+    """
     doc_keys = [*keys, "sent_pos"]
+    documents = study_sentences(reviews, text, keys, lemmatize=not attested)
+    if attested:
+        documents = with_attested_lemmas(documents, doc_keys)
+    documents = documents.persist()
     found = {}
     for method in methods:
         data = study_input(documents.select(*doc_keys, "tokens"), doc_keys, method)
