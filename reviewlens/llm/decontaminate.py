@@ -8,7 +8,8 @@ is read once, word by word, whatever the number of items; matches are mapped bac
 to character offsets of the original text.
 
 Edge cases: a null or empty text, or one without words, has no hits; a null item
-or one without words is never found, nor is an item whose id is null; the same
+or one without words is never found; the words of an item whose id is null are hit, but
+it isn't listed, as it has no id; the same
 item in several rows counts once; a benchmark without rows hits nothing; other
 columns of the documents, whatever their names, are passed through only by
 ``remove_contaminated``.
@@ -50,7 +51,7 @@ def benchmark_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
                 found += ((" ".join(words[i : i + window]), item) for i in range(max(1, len(words) - window + 1)) if words)
             yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.string()) for k in (0, 1)], ["words", "item"])
 
-    items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
+    items = benchmark.where(F.col("text").isNotNull())
     items = items.select(F.col("item_id").cast("string"), F.col("text").cast("string"))
     found = items.mapInArrow(run, "words string, item string")
     return found.groupBy("words").agg(F.sort_array(F.collect_set("item")).alias("items"))

@@ -38,14 +38,15 @@ def brute_decontamination(text, items):
     words, hit, found = words_of(text), set(), set()
     for item, content in items:
         parts = words_of(content)
-        if item is None or not parts:
+        if not parts:
             continue
         size = min(10, len(parts))
         windows = {tuple(parts[i : i + size]) for i in range(len(parts) - size + 1)}
         for i in range(len(words) - size + 1):
             if tuple(words[i : i + size]) in windows:
                 hit.update(range(i, i + size))
-                found.add(str(item))
+                if item is not None:
+                    found.add(str(item))
     return len(words), len(hit), sorted(found)
 
 
