@@ -38,11 +38,11 @@ RECORD = (
     "content_type string, block_digest string, payload_digest string, content_length long, headers map<string,string>, block binary"
 )
 
-UNSEEN = re.compile(r"<!--.*?-->|<(script|style|template|noscript)\b.*?</\1\s*>|<head\b.*?</head\s*>", re.S | re.I)
-TITLE = re.compile(r"<title[^>]*>(.*?)</title\s*>", re.S | re.I)
+HIDDEN = re.compile(r"<(script|style|template|noscript|head)\b", re.I)
+CLOSING = {name: re.compile(rf"</{name}\s*>", re.I) for name in ("script", "style", "template", "noscript", "head", "title")}
+TITLE = re.compile(r"<title\b", re.I)
 LINK = re.compile(r"""<a\b[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)""", re.I)
-BREAK = re.compile(r"</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre)\b[^>]*>", re.I)
-TAG = re.compile(r"<[^>]*>")
+BREAK = re.compile(r"</?(p|div|br|li|ul|ol|tr|table|h[1-6]|article|section|nav|header|footer|blockquote|pre)\b", re.I)
 LANGUAGE = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
 
 
@@ -54,23 +54,74 @@ def record_id(*parts) -> str:
     return f"<urn:uuid:{uuid.uuid5(SPACE_OF_NAMES, '|'.join('' if p is None else str(p) for p in parts))}>"
 
 
+def marks(page: str, hidden: bool) -> Iterator[tuple[int, int, bool]]:
+    """``start, end, unseen`` of tags and comments, and of ``hidden`` elements as a whole.
+
+    One way forward over the page: an end that is missing once is not looked for again,
+    so that the time grows with the page alone, however broken it is.
+    """
+    at, endless = 0, set()
+
+    def after(name: str, start: int) -> int:
+        if name in endless:
+            return -1
+        if name == "comment":
+            found = page.find("-->", start)
+            end = found + 3 if found >= 0 else -1
+        else:
+            closing = CLOSING[name].search(page, start)
+            end = closing.end() if closing else -1
+        if end < 0:
+            endless.add(name)
+        return end
+
+    while (start := page.find("<", at)) >= 0:
+        element = HIDDEN.match(page, start) if hidden else None
+        end = -1
+        if page.startswith("<!--", start):
+            end = after("comment", start + 4)
+        elif element:
+            end = after(element[1].lower(), element.end())
+        unseen = end >= 0
+        if not unseen:
+            end = page.find(">", start) + 1
+            if not end:
+                return
+        yield start, end, unseen
+        at = end
+
+
 def plain_text(page: str) -> str:
     """Visible text, a line for each block."""
-    body = TAG.sub("", BREAK.sub("\n", UNSEEN.sub(" ", page)))
-    lines = (" ".join(line.split()) for line in html.unescape(body).split("\n"))
+    parts, last = [], 0
+    for start, end, unseen in marks(page, True):
+        parts += page[last:start], " " if unseen else "\n" if BREAK.match(page, start, end) else ""
+        last = end
+    parts.append(page[last:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(parts)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
 def facts(page: str, response: dict) -> list[tuple[str, str]]:
-    """Fields of the metadata block."""
-    title = TITLE.search(page)
-    language = LANGUAGE.search(page)
+    """Fields of the metadata block; what stands in comments is left out."""
     found = [("source-" + k.lower(), v) for k, v in response["headers"].items()]
+    title = language = None
+    links = []
+    for start, end, unseen in marks(page, False):
+        if unseen:
+            continue
+        if title is None and TITLE.match(page, start, end):
+            closing = CLOSING["title"].search(page, end)
+            title = page[end : closing.start()] if closing else ""
+        if language is None and (match := LANGUAGE.match(page, start, end)):
+            language = match[1]
+        if match := LINK.match(page, start, end):
+            links.append(match[1])
     if title:
-        found.append(("title", " ".join(html.unescape(title[1]).split())))
+        found.append(("title", " ".join(html.unescape(title).split())))
     if language:
-        found.append(("language", language[1]))
-    return found + [("outlink", html.unescape(link)) for link in LINK.findall(page)]
+        found.append(("language", language))
+    return found + [("outlink", html.unescape(link)) for link in links]
 
 
 def record(page_id, kind: str, identity: str, block: bytes, content_type: str, target, date, payload=None, refers_to=None, more=()) -> dict:
