@@ -285,13 +285,8 @@ def _top_ten(spark, sf):
     return topic_words.top_words(source_weights(spark, sf)).select("topic", "term")
 
 
-def _weights(spark, sf):
-    docs = study_docs(spark, sf)
-    return vocabulary.tfidf_long(docs, vocabulary.study_vocabulary(docs), ["doc_id"])
-
-
-@query(f"""
-WITH {CLASS_SQL},
+COHERENCE_SQL = f"""
+{CLASS_SQL},
 raw AS (SELECT doc_id, term, bow.tf * (ln((1 + (SELECT count(*) FROM docs)) / (1 + df)) + 1) AS raw FROM bow JOIN vocab USING (term)),
 tfidf AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS w FROM raw),
 top AS (SELECT topic, term FROM ranked WHERE rank <= 10),
@@ -301,13 +296,27 @@ pairs AS (
   FROM top a JOIN top b ON a.topic = b.topic AND a.term < b.term
   JOIN tfidf x ON x.term = a.term JOIN tfidf y ON y.term = b.term AND y.doc_id = x.doc_id
   JOIN norms n1 ON n1.term = a.term JOIN norms n2 ON n2.term = b.term
-  GROUP BY a.topic, a.term, b.term, n1.norm, n2.norm)
-SELECT t.topic, round(2 * coalesce(p.s, 0) / (t.n * (t.n - 1)), 8) AS coherence
+  GROUP BY a.topic, a.term, b.term, n1.norm, n2.norm),
+coherent AS (
+SELECT t.topic, 2 * coalesce(p.s, 0) / (t.n * (t.n - 1)) AS coherence
 FROM (SELECT topic, count(*) AS n FROM top GROUP BY topic) t
-LEFT JOIN (SELECT topic, sum(c) AS s FROM pairs GROUP BY topic) p USING (topic)""")
+LEFT JOIN (SELECT topic, sum(c) AS s FROM pairs GROUP BY topic) p USING (topic))"""
+
+
+def _coherence(spark, sf):
+    docs = study_docs(spark, sf)
+    space = vocabulary.feature_space(docs, variant="smooth")
+    return quality.cosine_coherence(space.transform(docs), space.terms, _top_ten(spark, sf))
+
+
+@query(f"WITH {COHERENCE_SQL} SELECT topic, round(coherence, 8) AS coherence FROM coherent")
 def coherence_cosine(spark, sf):
-    found = quality.cosine_coherence(_weights(spark, sf), _top_ten(spark, sf), ["doc_id"])
-    return found.withColumn("coherence", F.round("coherence", 8))
+    return _coherence(spark, sf).withColumn("coherence", F.round("coherence", 8))
+
+
+@query(f"WITH {COHERENCE_SQL} SELECT round(avg(coherence), 8) AS coherence FROM coherent")
+def coherence_mean(spark, sf):
+    return quality.mean_coherence(_coherence(spark, sf)).withColumn("coherence", F.round("coherence", 8))
 
 
 @query(f"""

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from reviewlens import settings
+from reviewlens.operators.matrix import csr_chunks
 
 
 def term_counts(tokens_df: DataFrame, tokens: str = "tokens") -> DataFrame:
@@ -70,14 +74,31 @@ def trimmed_dictionary(
 
 
 def bag_of_words(tokens_df: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
-    """(keys, term, tf).  Token lists are shuffled once by key, before exploding;
-    the grouping and everything later that groups by key reuses that layout."""
-    placed = tokens_df.select(*keys, F.col(tokens).alias("_toks")).repartition(*keys)
-    return (
-        placed.select(*keys, F.explode("_toks").alias("term"))
-        .groupBy(*keys, "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
+    """(keys, term, tf): the counts of each row's terms, made where the row lies.
+
+    Every row is a document of its own; a null list has no terms.
+    """
+    slim = tokens_df.select(F.col(tokens).cast("array<string>").alias("_toks"), *keys)
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            codes = pc.dictionary_encode(pc.list_flatten(lists), null_encoding="encode")
+            if not len(codes):
+                continue
+            found = pc.list_parent_indices(lists).to_numpy().astype(np.int64) * len(codes.dictionary) + codes.indices.to_numpy()
+            found, counts = np.unique(found, return_counts=True)
+            rows, terms = np.divmod(found, len(codes.dictionary))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i + 1).take(pa.array(rows)) for i in range(len(keys))), codes.dictionary.take(pa.array(terms)), pa.array(counts)],
+                [*keys, "term", "tf"],
+            )
+
+    return slim.mapInArrow(run, _key_schema(slim, keys) + ", term string, tf long")
+
+
+def _key_schema(df: DataFrame, keys: list[str]) -> str:
+    return ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
 
 
 def in_vocabulary(bow: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -96,19 +117,31 @@ def log2_idf(n: Column, df: Column) -> Column:
 def tfidf_long(
     tokens_df: DataFrame, vocabulary: DataFrame, keys: list[str], variant: str = "smooth"
 ) -> DataFrame:
-    """(keys, term, term_id, w): L2-normalised TF-IDF, or plain counts, in long form."""
-    if variant == "count":
-        known = in_vocabulary(bag_of_words(tokens_df, keys), vocabulary)
-        return known.select(*keys, "term", "term_id", F.col("tf").cast("double").alias("w"))
-    n = document_count(tokens_df)
-    idf = smooth_idf(n, F.col("df")) if variant == "smooth" else log2_idf(n, F.col("df"))
-    weighted = in_vocabulary(bag_of_words(tokens_df, keys), vocabulary).withColumn("raw", F.col("tf") * idf)
-    length = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(*keys)))
-    return (
-        weighted.withColumn("w", F.when(length > 0, F.col("raw") / length).otherwise(0.0))
-        .select(*keys, "term", "term_id", "w")
-        .filter(F.col("w") != 0)
-    )
+    """(keys, term, term_id, w): L2-normalised TF-IDF, or plain counts, in long form.
+
+    The rows of the sparse vectors, which are made where the documents lie.
+    """
+    space = FeatureSpace(vocabulary, 0 if variant == "count" else tokens_df.count(), variant)
+    return vector_rows(space.transform(tokens_df), keys, space.terms)
+
+
+def vector_rows(vectors: DataFrame, keys: list[str], terms: list[str], column: str = "features") -> DataFrame:
+    """(keys, term, term_id, w) of the numbers of sparse vectors that are not zero."""
+    slim = vectors.select(column, *keys)
+
+    def run(batches):
+        names = pa.array(terms, pa.string())
+        for batch in batches:
+            for piece, indices, values, starts in csr_chunks(batch, 0, 100):
+                rows = np.repeat(np.arange(piece.start, piece.stop), np.diff(starts))
+                held = np.flatnonzero(values)
+                ids = pa.array(indices[held], pa.int32())
+                yield pa.RecordBatch.from_arrays(
+                    [*(batch.column(i + 1).take(pa.array(rows[held])) for i in range(len(keys))), names.take(ids), ids, pa.array(values[held])],
+                    [*keys, "term", "term_id", "w"],
+                )
+
+    return slim.mapInArrow(run, _key_schema(slim, keys) + ", term string, term_id int, w double")
 
 
 class FeatureSpace:
@@ -126,8 +159,6 @@ class FeatureSpace:
         self.variant = variant
 
     def transform(self, tokens_df: DataFrame, tokens: str = "tokens", out: str = "features") -> DataFrame:
-        import numpy as np
-
         counter = CountVectorizerModel.from_vocabulary(self.terms, inputCol=tokens, outputCol="_counts", minTF=1.0)
         counted = counter.transform(tokens_df)
         if self.variant == "count":

@@ -16,7 +16,7 @@ from reviewlens.operators.nmf import fit_nmf
 from reviewlens.operators.resamples import fit_lsa_resampled
 from reviewlens.operators.svd import fit_lsa
 from reviewlens.operators.topic_model import TopicModel, first_max_topics, stability
-from reviewlens.operators.vocabulary import FeatureSpace, study_vocabulary, tfidf_long
+from reviewlens.operators.vocabulary import FeatureSpace, study_vocabulary
 from reviewlens.sources import results
 
 FITTERS = {"lsa": fit_lsa, "lda": fit_lda, "nmf": fit_nmf}
@@ -33,12 +33,10 @@ class StudyInput:
     method: str
     keys: list[str]
     features: DataFrame
-    weights: DataFrame
     space: FeatureSpace
 
     def release(self) -> None:
         self.features.unpersist()
-        self.weights.unpersist()
 
 
 @dataclass
@@ -56,8 +54,7 @@ def study_input(tokens_df: DataFrame, keys: list[str], method: str, **limits) ->
     vocabulary = study_vocabulary(tokens_df, **limits).persist()
     space = FeatureSpace(vocabulary, tokens_df.count(), variant)
     features = space.transform(tokens_df).select(*keys, "features").persist()
-    weights = tfidf_long(tokens_df, vocabulary, keys, variant).persist()
-    return StudyInput(method, keys, features, weights, space)
+    return StudyInput(method, keys, features, space)
 
 
 def judge(
@@ -75,7 +72,7 @@ def judge(
         row["reason"] = f"only {sizes['valid_topics']} of {model.k} topics have an allowed size"
         return row
     top = topic_words.top_words(model.topic_terms(spark, settings.TOP_WORDS)).select("topic", "term").persist()
-    row["coherence"] = float(quality.cosine_coherence(data.weights, top, data.keys).agg(F.avg("coherence")).head()[0])
+    row["coherence"] = float(quality.mean_coherence(quality.cosine_coherence(data.features, data.space.terms, top)).head()[0])
     row["diversity"] = float(quality.diversity(top).head()[0])
     row["performance"] = float(model.performance(data.features))
     row["stability"] = stability(model, data.features, data.keys, runs=stability_runs, again=again) if stability_runs else 0.0
