@@ -407,5 +407,5 @@ c AS (SELECT topic, i, sum(m * s) / sqrt(sum(m * m) * sum(s * s)) AS c FROM npmi
 SELECT topic, round(avg(c), 6) AS c_v FROM c GROUP BY topic""".replace("coalesce(p, 0) +", "coalesce(joint.p, 0) +"))
 def coherence_cv(spark, sf):
     top = topic_words.top_words(source_weights(spark, sf), settings.COHERENCE_WORDS)
-    found = quality.window_coherence(study_docs(spark, sf), top, ["doc_id"])
+    found = quality.window_coherence(study_docs(spark, sf), top)
     return found.withColumn("c_v", F.round("c_v", 6))

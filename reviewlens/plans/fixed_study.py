@@ -54,7 +54,7 @@ def fit_fixed(data: FixedInput, method: str, k: int, **options) -> TopicModel:
 def coherence(data: FixedInput, model: TopicModel) -> DataFrame:
     """C_v per topic over its 20 strongest words."""
     terms = model.topic_terms(data.tokens.sparkSession, settings.COHERENCE_WORDS, absolute=model.method == "lsa")
-    return quality.window_coherence(data.tokens, terms.select("topic", "term"), data.keys)
+    return quality.window_coherence(data.tokens, terms.select("topic", "term"))
 
 
 def export(data: FixedInput, model: TopicModel) -> DataFrame:
@@ -70,7 +70,7 @@ def run_fixed(
     methods: Iterable[str] = ("lsa", "lda"),
     counts: Iterable[int] = settings.FIXED_TOPIC_COUNTS,
 ) -> list[dict]:
-    """All methods and counts; a failing run is logged and the others go on."""
+    """All methods and counts; a failing run is a row with its ``reason`` and the others go on."""
     data = fixed_input(fixed_tokens(reviews.dropna(subset=[text]), text, keys), keys)
     if data is None:
         log.error("no known words left after normalisation")
@@ -82,7 +82,8 @@ def run_fixed(
                 model = fit_fixed(data, method, k)
                 score = coherence(data, model).agg(F.avg("c_v")).head()[0]
                 path = results.write_topic_words(export(data, model), base, method, k)
-                done.append({"method": method, "n_topics": k, "c_v": score, "path": path})
-            except Exception:
+                done.append({"method": method, "n_topics": k, "c_v": score, "path": path, "reason": None})
+            except Exception as error:
                 log.exception("%s with %d topics failed", method, k)
+                done.append({"method": method, "n_topics": k, "c_v": None, "path": None, "reason": str(error)})
     return done
