@@ -6,7 +6,7 @@ import importlib
 
 from reviewlens.catalog.registry import CHECKS, QUERIES
 
-MODULES = ("profile_queries", "text_queries", "vector_queries", "feed_queries", "model_queries")
+MODULES = ("profile_queries", "text_queries", "vector_queries", "feed_queries", "model_queries", "store_queries")
 
 
 def load_catalog():

@@ -140,7 +140,7 @@ def field_fallback(spark, sf):
 
 @query("SELECT doc_id, lang FROM documents")
 def drop_columns(spark, sf):
-    return table(spark, sf, "documents").drop("text", "source", "n_chars")
+    return profile.without_identifiers(table(spark, sf, "documents"), ("text", "source", "n_chars"))
 
 
 @query("SELECT source, doc_id FROM documents")

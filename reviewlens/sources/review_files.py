@@ -10,7 +10,11 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 from reviewlens.scale import cut_lineage, fits_broadcast
 from reviewlens.sources import schemas
 
-CSV_OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8"}
+# Blanks around a value belong to it; Spark's writer would cut them off.
+CSV_OPTIONS = {
+    "header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8",
+    "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
 RECORD_OPTIONS = {"quote": '"', "escape": '"', "maxCharsPerColumn": "-1"}
 
 
