@@ -9,6 +9,8 @@ from reviewlens.scale import cut_lineage, join_lookup
 from reviewlens.sources import schemas
 
 REQUEST = ["appid", "review_type"]
+#: Folders of the review table: a game and type lies whole in one of them.
+SHARD, SHARDS = "shard", 256
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
@@ -90,32 +92,32 @@ def newest_reviews(rows: DataFrame) -> DataFrame:
 
 
 def _stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The review table at ``path`` with its partitions, or nothing where none was written yet."""
+    """The review table at ``path`` with its shards, or nothing where none was written yet."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
         return None
-    return spark.read.option("mergeSchema", "true").parquet(path)
+    found = spark.read.option("mergeSchema", "true").parquet(path)
+    if SHARD not in found.columns:
+        raise ValueError(f"{path} is not laid out by {SHARD}: ingest the pages into a new place")
+    return found
 
 
 def write_reviews(rows: DataFrame, path: str) -> None:
-    """Merge by review id into the table of games and types.
+    """Merge by review id into the table of reviews.
 
-    Only partitions that receive rows are read and replaced, so that a repeated run
-    leaves the table as it is.  Crowded games are split over several files.
+    The table is laid out in ``SHARDS`` folders by a hash of the game and type, so the
+    number of files does not grow with that of the games.  Only shards that receive rows
+    are read and replaced, so that a repeated run leaves the table as it is.  Crowded
+    shards are split over several files.
     """
     spark = rows.sparkSession
-    rows = cut_lineage(rows)
+    shard = F.pmod(F.xxhash64(*[F.col(c).cast("string") for c in REQUEST]), F.lit(SHARDS)).cast("int")
+    rows = cut_lineage(rows.withColumn(SHARD, shard))
     stored = _stored(spark, path)
     merged = rows
     if stored is not None:
-        kinds = {f.name: f.dataType for f in rows.schema.fields}
-        stored = stored.withColumns({c: F.col(c).cast(kinds[c]) for c in REQUEST})
-        touched = rows.select(*REQUEST).distinct()
-        same = [F.col(f"old.{c}").eqNullSafe(F.col(f"new.{c}")) for c in REQUEST]
-        old = stored.alias("old").join(touched.alias("new"), same[0] & same[1], "left_semi")
-        merged = rows.unionByName(old, allowMissingColumns=True)
-    # written apart first: the partitions that are replaced are those just read
+        touched = [r[SHARD] for r in rows.select(SHARD).distinct().collect()]  # at most SHARDS
+        merged = rows.unionByName(stored.filter(F.col(SHARD).isin(touched)), allowMissingColumns=True)
+    # written apart first: the shards that are replaced are those just read
     merged = cut_lineage(newest_reviews(merged))
-    merged.hint("rebalance", *REQUEST).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        *REQUEST
-    ).parquet(path)
+    merged.hint("rebalance", SHARD).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(SHARD).parquet(path)
