@@ -50,11 +50,16 @@ weights AS (SELECT topic, term,
 ranked AS (SELECT topic, term, weight, row_number() OVER (PARTITION BY topic ORDER BY weight DESC, term) AS rank FROM weights)"""
 
 
-def study_docs(spark, sf):
+def _study_docs(spark, sf):
     """One token list per document, with study normalisation."""
     tokens = text.tokens(text.normalize_unicode(F.col("text")), settings.STUDY_STOP_WORDS)
     docs = text.evaluated_once(texts(spark, sf), ["doc_id", "source"], tokens, "tokens")
-    return docs.filter(F.size("tokens") > 0).persist()
+    return docs.filter(F.size("tokens") > 0)
+
+
+def study_docs(spark, sf):
+    """The token lists, kept for several readers."""
+    return _study_docs(spark, sf).persist()
 
 
 def fixed_docs(spark, sf):
@@ -62,7 +67,7 @@ def fixed_docs(spark, sf):
 
 
 def source_weights(spark, sf):
-    return class_tfidf.class_tfidf(class_tfidf.class_term_counts(study_docs(spark, sf), "source"))
+    return class_tfidf.class_tfidf(class_tfidf.class_term_counts(_study_docs(spark, sf), "source"))
 
 
 @query(f"WITH {STUDY_SQL} SELECT term, df, tf FROM terms")
