@@ -87,7 +87,7 @@ def trimmed_dictionary(spark, sf):
 
 @query(f"WITH {STUDY_SQL} SELECT doc_id, term, tf FROM bow")
 def bag_of_words(spark, sf):
-    return vocabulary.bag_of_words(study_docs(spark, sf), ["doc_id"])
+    return vocabulary.bag_of_words(_study_docs(spark, sf), ["doc_id"])
 
 
 @query(f"WITH {FIXED_SQL} SELECT doc_id, term_id::INTEGER AS term_id, bow.tf AS n FROM bow JOIN dict USING (term)")
