@@ -118,14 +118,10 @@ def tfidf_log2(spark, sf):
 @query(f"WITH {SMOOTH_SQL} SELECT doc_id, count(*) AS terms, round(sum(w), 6) AS total FROM tfidf GROUP BY doc_id")
 def tfidf_vectors(spark, sf):
     """The shuffle-free vector form must carry the same weights as the long form."""
-    from pyspark.ml.functions import vector_to_array
-
     docs = study_docs(spark, sf)
     features = vocabulary.feature_space(docs, "study", "smooth").transform(docs)
-    dense = features.select("doc_id", vector_to_array("features").alias("v"))
-    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x)
-    held = F.size(F.filter("v", lambda x: x != 0)).cast("long")
-    return dense.select("doc_id", held.alias("terms"), F.round(total, 6).alias("total")).filter("terms > 0")
+    sums = vocabulary.vector_sums(features, ["doc_id"])
+    return sums.select("doc_id", "terms", F.round("total", 6).alias("total")).filter("terms > 0")
 
 
 @query(f"WITH {CLASS_SQL} SELECT topic, term, round(weight, 9) AS weight, rank::INTEGER AS rank FROM ranked WHERE rank <= 10")
