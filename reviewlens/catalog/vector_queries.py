@@ -138,7 +138,7 @@ spread AS (SELECT term FROM gc GROUP BY term HAVING count(*) >= {settings.TOPIC_
            AND count(*) <= {settings.TOPIC_MAX_DF} * (SELECT count(DISTINCT topic) FROM gc))
 SELECT topic, term, tf FROM gc SEMI JOIN spread USING (term)""")
 def topic_ngram_counts(spark, sf):
-    counts = class_tfidf.class_term_counts(study_docs(spark, sf), "source", sizes=settings.TOPIC_NGRAMS)
+    counts = class_tfidf.class_term_counts(_study_docs(spark, sf), "source", sizes=settings.TOPIC_NGRAMS)
     return class_tfidf.limit_by_topics(counts).select("topic", "term", "tf")
 
 
