@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
-from reviewlens.scale import join_lookup
+from reviewlens.scale import BROADCAST_ROWS, join_lookup
 
 #: Noun endings and what may replace them; the first attested form wins.
 ATTESTED_ENDINGS = (
@@ -37,14 +39,39 @@ def attested_lemmas(words: DataFrame, word: str = "word", shortest: int = SHORTE
     return counts.join(chosen, "word", "left").select("word", F.coalesce("form", "word").alias("lemma"))
 
 
-def with_attested_lemmas(tokenised: DataFrame, keys: list[str], tokens: str = "tokens") -> DataFrame:
+def with_attested_lemmas(
+    tokenised: DataFrame, keys: list[str], tokens: str = "tokens", max_rows: int = BROADCAST_ROWS
+) -> DataFrame:
     """Keys and token lists, in their order, with lemmas in place of the words.
 
-    Keys name one row each; rows without tokens are left out.  Only words with another lemma are looked up; a frequent
-    word is spread over salts beyond the checked size of the lookup.
+    Keys name one row each; rows without tokens are left out.  Only words with another lemma are looked up: in place
+    while a checked number of them can be broadcast; beyond it a frequent word is spread over salts.
     """
+    changed = attested_lemmas(tokenised.select(F.explode(tokens).alias("word"))).filter("word <> lemma").persist()
+    few = changed.limit(max_rows + 1).toArrow()
+    if few.num_rows <= max_rows:
+        return _replaced(tokenised.select(*keys, tokens), few, tokens)
     placed = tokenised.select(*keys, F.posexplode(tokens).alias("_at", "word"))
-    changed = attested_lemmas(placed).filter("word <> lemma")
-    joined = join_lookup(placed, changed, "word", [*keys, "_at"])
+    joined = join_lookup(placed, changed, "word", [*keys, "_at"], max_rows=max_rows)
     in_order = F.array_sort(F.collect_list(F.struct("_at", F.coalesce("lemma", "word").alias("lemma"))))
     return joined.groupBy(*keys).agg(F.transform(in_order, lambda x: x["lemma"]).alias(tokens))
+
+
+def _replaced(tokenised: DataFrame, changed: pa.Table, tokens: str) -> DataFrame:
+    """The token lists with the lemmas of a small table, where the documents lie."""
+    sent = tokenised.sparkSession.sparkContext.broadcast(changed)
+    at = tokenised.columns.index(tokens)
+
+    def run(batches):
+        table = sent.value.combine_chunks()
+        words, lemmas = (pa.concat_arrays(table.column(c).chunks or [pa.array([], pa.string())]) for c in ("word", "lemma"))
+        for batch in batches:
+            # a filter before would be pushed below the tokens and make them twice
+            sizes = pa.compute.fill_null(pa.compute.list_value_length(batch.column(at)), 0)
+            batch, sizes = batch.filter(pa.compute.greater(sizes, 0)), sizes.filter(pa.compute.greater(sizes, 0))
+            found = batch.column(at).flatten()
+            own = pa.compute.coalesce(lemmas.take(pa.compute.index_in(found, words)), found)
+            ends = pa.concat_arrays([pa.array([0], pa.int32()), pa.compute.cumulative_sum(sizes).cast(pa.int32())])
+            yield batch.set_column(at, tokens, pa.ListArray.from_arrays(ends, own))
+
+    return tokenised.mapInArrow(run, tokenised.schema)

@@ -102,3 +102,14 @@ def test_attested_lemmas(spark):
     assert all(table[w] == w for w in singular)
     found = {r["id"]: r["tokens"] for r in lemmas.with_attested_lemmas(docs, ["id"]).collect()}
     assert found[1] == list(plural.values()) and found[3] == rows[2][1] and 4 not in found
+
+
+def test_attested_lemmas_in_place_and_by_join(spark):
+    rows = [(i, ["movies", "movie", None, "wolf"] + ["wolves"] * (i % 3)) for i in range(30)] + [(30, []), (31, None)]
+    docs = spark.createDataFrame(rows, "id long, tokens array<string>").repartition(3)
+    want = {i: ["movie", "movie", None, "wolf"] + ["wolf"] * (i % 3) for i in range(30)}
+    for most in (100, 0):
+        found = lemmas.with_attested_lemmas(docs, ["id"], max_rows=most)
+        assert {r["id"]: r["tokens"] for r in found.collect()} == want
+    plan = lemmas.with_attested_lemmas(docs, ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "SortMergeJoin" not in plan  # the lists never leave their rows
