@@ -50,7 +50,7 @@ SLACK = 2.0
 #: Bounds of the bits of a table; beyond the upper one more phrases are counted, none less.
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Distinct phrases a task holds before it hands them on, by hash and as text; rows handed on at once.
-HELD, HELD_TEXTS, EMITTED = 500_000, 400_000, 65_536
+HELD, HELD_TEXTS, EMITTED = 4_000_000, 400_000, 65_536
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = 255  # in no UTF-8 text
@@ -185,7 +185,8 @@ def _counted(documents: DataFrame, table, least: int, fresh=None, only: int | No
         yield pa.RecordBatch.from_arrays([pa.array(totals.keys(), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())], names)
 
     rows = _texts(documents).mapInArrow(run, "lang string, hash long, count long")
-    counted = rows.groupBy("lang", "hash").agg(F.sum("count").alias("count"))
+    # tasks have added up what they can: dealt by hash first, Spark holds no second table of it before the shuffle
+    counted = rows.repartition("hash").groupBy("lang", "hash").agg(F.sum("count").alias("count"))
     return counted.where(F.col("hash").isNull() | (F.col("count") >= least))
 
 

@@ -259,3 +259,16 @@ def test_equals_sql(spark, sf, name):
 
     # no phrase need be frequent at the smallest scale
     assert oracle.compare(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], oracle.connect(sf)) in ("", "no rows")
+
+
+def test_phrase_counts_are_dealt_before_spark_adds_them(spark):
+    from reviewlens.llm import phrase_mining
+    from reviewlens.llm.common import BitTable
+
+    documents = spark.createDataFrame([(i, "a b c d", "en") for i in range(8)], "doc_id long, text string, lang string")
+    table = spark.sparkContext.broadcast(BitTable.empty(phrase_mining.LEAST_BITS))
+    counted = phrase_mining._counted(documents, table, 1)
+    plan = counted._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and "HashAggregate" not in plan.split("REPARTITION_BY_COL")[-1]
+    found = [(r["lang"], r["count"]) for r in counted.collect()]
+    assert sorted(found, key=str) == [("en", 32), (None, 8), (None, 8), (None, 8), (None, 8)]
