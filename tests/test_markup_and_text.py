@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -113,3 +114,17 @@ def test_attested_lemmas_in_place_and_by_join(spark):
         assert {r["id"]: r["tokens"] for r in found.collect()} == want
     plan = lemmas.with_attested_lemmas(docs, ["id"])._jdf.queryExecution().executedPlan().toString()
     assert "collect_list" not in plan and "SortMergeJoin" not in plan  # the lists never leave their rows
+
+
+def test_unclosed_marks_take_one_search(spark):
+    raw = "[b]" * 100_000 + "[url=" * 20_000 + "end"
+    begun = time.time()
+    assert one(spark, markup.clean_markup(F.col("t")), raw) == raw
+    assert time.time() - begun < 20
+
+
+def test_space_of_cleaning_is_that_of_the_pattern(spark):
+    chars = [chr(i) for i in [*range(0xD800), *range(0xE000, 0x110000)]]
+    texts = ["a" + c + "a" for c in chars]
+    df = spark.createDataFrame([("".join(texts[i : i + 4096]),) for i in range(0, len(texts), 4096)], "t string")
+    assert df.where(markup.clean_markup(F.col("t")) != markup.collapse_space(F.col("t"))).count() == 0
