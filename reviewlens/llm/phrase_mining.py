@@ -51,6 +51,8 @@ SLACK = 2.0
 LEAST_BITS, MOST_BITS = 1 << 20, 1 << 28
 #: Distinct phrases a task holds before it hands them on, by hash and as text; rows handed on at once.
 HELD, HELD_TEXTS, EMITTED = 4_000_000, 400_000, 65_536
+#: Tasks of the last pass for each core.
+TASKS_A_CORE = 2
 
 _PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 _END = 255  # in no UTF-8 text
@@ -102,6 +104,15 @@ def _texts(documents: DataFrame) -> DataFrame:
     return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
 
 
+def _in_few_tasks(texts: DataFrame) -> DataFrame:
+    """Texts in a number of tasks that does not grow with the input.
+
+    Each task hands on the frequent phrases that it met, most of them once: as many rows
+    as tasks times phrases.
+    """
+    return texts.coalesce(TASKS_A_CORE * texts.sparkSession.sparkContext.defaultParallelism)
+
+
 class Chunk(NamedTuple):
     """Documents as one row of word hashes, 0 at the end of each piece, with seeds of their languages."""
 
@@ -267,7 +278,7 @@ def frequent_phrases(documents: DataFrame, least: int) -> tuple[DataFrame, DataF
                 found.clear()
         yield emitted()
 
-    rows = _texts(documents).mapInArrow(run, "lang string, phrase string, length int, f long")
+    rows = _in_few_tasks(_texts(documents)).mapInArrow(run, "lang string, phrase string, length int, f long")
     counted = rows.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
     return checkpointed(counted), totals
 

@@ -272,3 +272,14 @@ def test_phrase_counts_are_dealt_before_spark_adds_them(spark):
     assert "REPARTITION_BY_COL" in plan and "HashAggregate" not in plan.split("REPARTITION_BY_COL")[-1]
     found = [(r["lang"], r["count"]) for r in counted.collect()]
     assert sorted(found, key=str) == [("en", 32), (None, 8), (None, 8), (None, 8), (None, 8)]
+
+
+def test_rows_of_the_last_pass_do_not_grow_with_partitions(spark):
+    rows = [(i, "one two three", "en") for i in range(120)]
+    documents = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(60)
+    tasks = phrase_mining.TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    assert phrase_mining._in_few_tasks(phrase_mining._texts(documents)).rdd.getNumPartitions() <= tasks < 60
+    found, _ = phrase_mining.frequent_phrases(documents, 100)
+    assert {r["phrase"]: r["f"] for r in found.collect()} == {
+        p: 120 for p in ("one", "two", "three", "one two", "two three", "one two three")
+    }
