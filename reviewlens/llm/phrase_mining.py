@@ -164,8 +164,11 @@ def _counted(documents: DataFrame, table, least: int, fresh=None, only: int | No
         def merged():
             every = np.concatenate([h for h, _ in held])
             weights = np.concatenate([c for _, c in held])
+            held.clear()  # parts of the size of all that is merged
             order = np.argsort(every)
-            every, weights = every[order], weights[order]
+            every = every[order]
+            weights = weights[order]
+            del order
             starts = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
             return every[starts], np.add.reduceat(weights, starts)
 
@@ -186,7 +189,7 @@ def _counted(documents: DataFrame, table, least: int, fresh=None, only: int | No
                 held.append((hashes, counts))
                 size += len(hashes)
             if size > HELD:
-                held = [merged()]
+                held.append(merged())
                 size = len(held[0][0])
                 if size > HELD // 2:
                     yield from emitted(*held.pop())
@@ -257,11 +260,16 @@ def frequent_phrases(documents: DataFrame, least: int) -> tuple[DataFrame, DataF
         found: Counter = Counter()
 
         def emitted():
-            langs, phrases, sizes = zip(*[(lang, phrase.decode("utf-8", "surrogatepass"), size) for lang, phrase, size in found]) if found else ((), (), ())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(sizes, pa.int32()), pa.array(found.values(), pa.int64())],
-                ["lang", "phrase", "length", "f"],
-            )
+            while found:  # what is handed on is not held beside all that is left
+                part = [found.popitem() for _ in range(min(len(found), EMITTED))]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([lang for (lang, _, _), _ in part], pa.string()),
+                        pa.array([phrase.decode("utf-8", "surrogatepass") for (_, phrase, _), _ in part], pa.string()),
+                        pa.array([size for (_, _, size), _ in part], pa.int32()), pa.array([count for _, count in part], pa.int64()),
+                    ],
+                    ["lang", "phrase", "length", "f"],
+                )
 
         for chunk in _chunks(batches):
             for length, places, hashes in countable(chunk.words, chunk.seeds, known.value):
@@ -274,9 +282,8 @@ def frequent_phrases(documents: DataFrame, least: int) -> tuple[DataFrame, DataF
                 for place, count in zip(places[first].tolist(), counts.tolist()):
                     found[chunk.langs[chunk.owner[place]], chunk.phrase(place, length), length] += count
             if len(found) > HELD_TEXTS:
-                yield emitted()
-                found.clear()
-        yield emitted()
+                yield from emitted()
+        yield from emitted()
 
     rows = _in_few_tasks(_texts(documents)).mapInArrow(run, "lang string, phrase string, length int, f long")
     counted = rows.groupBy("lang", "phrase", "length").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
