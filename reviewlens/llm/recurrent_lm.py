@@ -60,8 +60,14 @@ PARAMETERS = sum(math.prod(s) for s in SHAPES.values())
 ABSENT = -1e9
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * (np.tanh(0.5 * x) + 1)
+def _log_shares(logits: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithm of the share of column ``at`` in each row, and the shares, which replace the logits."""
+    logits -= logits.max(axis=1, keepdims=True)
+    found = logits[np.arange(len(at)), at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits /= total[:, None]
+    return found - np.log(total), logits
 
 
 class GatedModel:
@@ -91,50 +97,63 @@ class GatedModel:
             model.class_bias[:] = np.maximum(np.log(np.append(by_class.sum(axis=1), others)), ABSENT)
         return model
 
-    def step(self, x: np.ndarray, h: np.ndarray):
-        gates = _sigmoid(x[:, : 2 * HIDDEN] + h @ self.gates)
-        z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
-        c = np.tanh(x[:, 2 * HIDDEN :] + (r * h) @ self.candidate)
-        return z, r, c, h + z * (c - h)
+    def steps(self, x: np.ndarray, h: np.ndarray, live: list[int], kept: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(states after each step of the first ``live`` rows, the last ones); ``x`` from a table of ``enter_table``."""
+        half = 0.5 * self.gates  # sigmoid(x) is (tanh(x / 2) + 1) / 2
+        states = np.zeros((len(x), x.shape[1], HIDDEN), np.float32)
+        for t, n in enumerate(live):
+            now, before = x[t, :n], h[:n]
+            gates = before @ half
+            gates += now[:, : 2 * HIDDEN]
+            np.tanh(gates, out=gates)
+            gates += 1
+            gates *= 0.5
+            z, r = gates[:, :HIDDEN], gates[:, HIDDEN:]
+            c = (r * before) @ self.candidate
+            c += now[:, 2 * HIDDEN :]
+            np.tanh(c, out=c)
+            after = np.subtract(c, before, out=states[t, :n])
+            after *= z
+            after += before
+            h = after if n == len(h) else np.concatenate([after, h[n:]])
+            if kept is not None:
+                kept.append((before, gates, c))
+        return states, h
 
     def enter_table(self) -> np.ndarray:
-        return self.embed @ self.enter + self.bias
+        """What each word adds to the gates, halved, and to the candidate."""
+        table = self.embed @ self.enter + self.bias
+        table[:, : 2 * HIDDEN] *= 0.5
+        return table
 
     def log_probability(self, states: np.ndarray, targets: np.ndarray, gradient: dict | None = None):
         """Natural log-probability of each target; with ``gradient`` also d(-sum)/d(states)."""
-        n, rows = len(targets), np.arange(len(targets))
         classes = targets // PER_CLASS
-        logits = states @ self.class_weight + self.class_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        odds = np.exp(logits)
-        total = odds.sum(axis=1)
-        result = logits[rows, classes] - np.log(total)
-        back = None
-        if gradient is not None:
-            odds /= total[:, None]
-            odds[rows, classes] -= 1
-            gradient["class_weight"] += states.T @ odds
-            gradient["class_bias"] += odds.sum(axis=0)
-            back = odds @ self.class_weight.T
         order = np.argsort(classes, kind="stable")
-        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1))
-        for k in range(CLASSES):
-            mine = order[cuts[k] : cuts[k + 1]]
-            if not len(mine):
-                continue
-            inside = states[mine] @ self.word_weight[k] + self.word_bias[k]
-            inside -= inside.max(axis=1, keepdims=True)
-            slots = targets[mine] - k * PER_CLASS
-            odds = np.exp(inside)
-            total = odds.sum(axis=1)
-            result[mine] += inside[rows[: len(mine)], slots] - np.log(total)
-            if gradient is not None:
-                odds /= total[:, None]
-                odds[rows[: len(mine)], slots] -= 1
-                gradient["word_weight"][k] += states[mine].T @ odds
-                gradient["word_bias"][k] += odds.sum(axis=0)
-                back[mine] += odds @ self.word_weight[k].T
-        return result if gradient is None else (result, back)
+        cuts = np.searchsorted(classes[order], np.arange(CLASSES + 1)).tolist()
+        parts = [(k, slice(low, high)) for k, (low, high) in enumerate(zip(cuts, cuts[1:])) if low < high]
+        order = order[: cuts[-1]]  # the stand-in is alone in its class
+        result, odds = _log_shares(states @ self.class_weight + self.class_bias, classes)
+        sorted_states, slots = states.take(order, 0), targets[order] % PER_CLASS
+        inside = np.empty((len(order), PER_CLASS), states.dtype)
+        for k, part in parts:
+            np.matmul(sorted_states[part], self.word_weight[k], out=inside[part])
+        inside += self.word_bias.take(classes[order], 0)
+        found, within = _log_shares(inside, slots)
+        result[order] += found
+        if gradient is None:
+            return result
+        odds[np.arange(len(targets)), classes] -= 1
+        within[np.arange(len(order)), slots] -= 1
+        gradient["class_weight"] += states.T @ odds
+        gradient["class_bias"] += odds.sum(axis=0)
+        back, turned = odds @ self.class_weight.T, np.empty_like(sorted_states)
+        for k, part in parts:
+            gradient["word_weight"][k] += sorted_states[part].T @ within[part]
+            gradient["word_bias"][k] += within[part].sum(axis=0)
+            np.matmul(within[part], self.word_weight[k].T, out=turned[part])
+        back[order] += turned
+        return result, back
 
     def score(self, documents: list[np.ndarray], first: int) -> np.ndarray:
         """Natural log-probability of each document, a list of word numbers."""
@@ -151,10 +170,7 @@ class GatedModel:
         h = np.zeros((len(documents), HIDDEN), np.float32)
         for block, inputs, live, mask in _windows(documents, first, SCORE_WINDOW):
             active = block.shape[1]
-            x = table[inputs]
-            states = np.zeros((len(block), active, HIDDEN), np.float32)
-            for t, n in enumerate(live):
-                h[:n] = states[t, :n] = self.step(x[t, :n], h[:n])[3]
+            states, h = self.steps(table.take(inputs, 0), h[:active], live.tolist())
             found = self.log_probability(states[mask], block[mask])
             totals[:active] += np.bincount(np.nonzero(mask)[1], weights=found, minlength=active)
         return totals
@@ -170,35 +186,49 @@ class GatedModel:
 
     def _train_window(self, h, block, inputs, mask, optimiser):
         gradient = {name: np.zeros(shape, np.float32) for name, shape in SHAPES.items()}
-        x = self.enter_table()[inputs]
-        kept, states = [], np.empty((len(block), len(h), HIDDEN), np.float32)
-        for t in range(len(block)):
-            z, r, c, after = self.step(x[t], h)
-            kept.append((h, z, r, c))
-            states[t] = h = after
+        x = self.enter_table().take(inputs, 0)
+        kept: list = []
+        states, last = self.steps(x, h, [len(h)] * len(block), kept)
         _, back = self.log_probability(states[mask], block[mask], gradient)
         outward = np.zeros_like(states)
         outward[mask] = back
+        before, gates, c = (np.stack(column) for column in zip(*kept))
+        z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+        # factors of the loop, for all steps at once
+        to_c, to_r, stay = z * (1 - c * c), before * r * (1 - r), 1 - z
+        to_z = (c - before) * z * stay
         entered = np.empty_like(x)
         dh = np.zeros_like(h)
+        candidate, turned = np.ascontiguousarray(self.candidate.T), np.ascontiguousarray(self.gates.T)
         for t in reversed(range(len(block))):
-            before, z, r, c = kept[t]
-            dh = dh + outward[t]
-            dc = dh * z * (1 - c * c)
-            into = dc @ self.candidate.T
-            dz = dh * (c - before) * z * (1 - z)
-            dr = into * before * r * (1 - r)
-            gates = np.concatenate([dz, dr], axis=1)
-            gradient["candidate"] += (r * before).T @ dc
-            gradient["gates"] += before.T @ gates
-            dh = dh * (1 - z) + into * r + gates @ self.gates.T
-            entered[t, :, : 2 * HIDDEN], entered[t, :, 2 * HIDDEN :] = gates, dc
+            now = entered[t]
+            dh += outward[t]
+            dc = dh * to_c[t]
+            into = dc @ candidate
+            np.multiply(dh, to_z[t], out=now[:, :HIDDEN])
+            np.multiply(into, to_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
+            now[:, 2 * HIDDEN :] = dc
+            dh *= stay[t]
+            into *= r[t]
+            dh += into
+            dh += now[:, : 2 * HIDDEN] @ turned
+        rows = lambda values: values.reshape(-1, values.shape[-1])
+        gradient["candidate"] += rows(r * before).T @ rows(entered[:, :, 2 * HIDDEN :])
+        gradient["gates"] += rows(before).T @ rows(entered[:, :, : 2 * HIDDEN])
         flat, words = entered.reshape(-1, 3 * HIDDEN), inputs.ravel()
-        gradient["enter"] += self.embed[words].T @ flat
+        gradient["enter"] += self.embed.take(words, 0).T @ flat
         gradient["bias"] += flat.sum(axis=0)
-        np.add.at(gradient["embed"], words, flat @ self.enter.T)
+        _add_rows(gradient["embed"], words, flat @ self.enter.T)
         optimiser.update(self.flat, np.concatenate([g.ravel() for g in gradient.values()]) / mask.sum())
-        return h
+        return last
+
+
+def _add_rows(table: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> None:
+    """Add each row to the table's row of its number."""
+    order = np.argsort(numbers, kind="stable")
+    found = numbers[order]
+    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+    table[found[starts]] += np.add.reduceat(rows.take(order, 0), starts, axis=0)
 
 
 def _windows(documents: list[np.ndarray], first: int, steps: int):
