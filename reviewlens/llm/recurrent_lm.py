@@ -194,43 +194,38 @@ class GatedModel:
         outward[mask] = back
         before, gates, c = (np.stack(column) for column in zip(*kept))
         z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-        # factors of the loop, for all steps at once
-        to_c, to_r, stay = z * (1 - c * c), before * r * (1 - r), 1 - z
-        to_z = (c - before) * z * stay
+        # factors of the loop, for all steps at once; multiplied in one order, so that rounding is the same
+        bent, change, unset, stay = 1 - c * c, c - before, 1 - r, 1 - z
         entered = np.empty_like(x)
         dh = np.zeros_like(h)
-        candidate, turned = np.ascontiguousarray(self.candidate.T), np.ascontiguousarray(self.gates.T)
         for t in reversed(range(len(block))):
             now = entered[t]
             dh += outward[t]
-            dc = dh * to_c[t]
-            into = dc @ candidate
-            np.multiply(dh, to_z[t], out=now[:, :HIDDEN])
-            np.multiply(into, to_r[t], out=now[:, HIDDEN : 2 * HIDDEN])
+            dc = dh * z[t]
+            dc *= bent[t]
+            into = dc @ self.candidate.T
+            dz, dr = dh * change[t], into * before[t]
+            dz *= z[t]
+            dr *= r[t]
+            np.multiply(dz, stay[t], out=now[:, :HIDDEN])
+            np.multiply(dr, unset[t], out=now[:, HIDDEN : 2 * HIDDEN])
             now[:, 2 * HIDDEN :] = dc
             dh *= stay[t]
             into *= r[t]
             dh += into
-            dh += now[:, : 2 * HIDDEN] @ turned
-        rows = lambda values: values.reshape(-1, values.shape[-1])
-        gradient["candidate"] += rows(r * before).T @ rows(entered[:, :, 2 * HIDDEN :])
-        gradient["gates"] += rows(before).T @ rows(entered[:, :, : 2 * HIDDEN])
+            dh += np.ascontiguousarray(now[:, : 2 * HIDDEN]) @ self.gates.T
+        # step by step from the last one on: the order of a running sum
+        by_step = lambda values, turned: np.matmul(values.transpose(0, 2, 1), np.ascontiguousarray(turned))[::-1].sum(axis=0)
+        gradient["candidate"] += by_step(r * before, entered[:, :, 2 * HIDDEN :])
+        gradient["gates"] += by_step(before, entered[:, :, : 2 * HIDDEN])
         flat, words = entered.reshape(-1, 3 * HIDDEN), inputs.ravel()
         gradient["enter"] += self.embed.take(words, 0).T @ flat
         gradient["bias"] += flat.sum(axis=0)
-        _add_rows(gradient["embed"], words, flat @ self.enter.T)
+        np.add.at(gradient["embed"], words, flat @ self.enter.T)
         optimiser.update(self.flat, np.concatenate([g.ravel() for g in gradient.values()]) / mask.sum())
         return last
 
 
-def _add_rows(table: np.ndarray, numbers: np.ndarray, rows: np.ndarray) -> None:
-    """Add each row to the table's row of its number."""
-    order = np.argsort(numbers, kind="stable")
-    found = numbers[order]
-    starts = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-    table[found[starts]] += np.add.reduceat(rows.take(order, 0), starts, axis=0)
-
-
 def _windows(documents: list[np.ndarray], first: int, steps: int):
     """(targets, inputs, live documents at each step, mask) of documents sorted by falling length."""
     lengths = np.array([len(d) for d in documents])
